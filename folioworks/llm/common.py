@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,7 +76,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 3_000_000) -> I
     if values.null_count == len(values):
         yield batch
         return
-    sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(values).to_numpy(zero_copy_only=False), dtype=np.float64))
+    sizes = np.nan_to_num(np.asarray(pc.binary_length(values).to_numpy(zero_copy_only=False), dtype=np.float64))
     start, held = 0, 0.0
     for i, n in enumerate(sizes):
         if i > start and held + n > most_bytes:
