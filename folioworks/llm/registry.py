@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioworks.llm.chat import OP4_SQL, op4_chat_format
 from folioworks.llm.decontaminate import op1_decontaminate
+from folioworks.llm.jaccard import OP3_SQL, op3_jaccard_join
 from folioworks.llm.langid import op5_langid
 from folioworks.llm.packing import op10_packing
 from folioworks.llm.quality import op7_quality
@@ -18,8 +19,8 @@ from folioworks.llm.warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_top_k, op4_chat_format, op5_langid, op6_warc, op7_quality, op8_token_files, op9_virtual_slots, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_top_k, op3_jaccard_join, op4_chat_format, op5_langid, op6_warc, op7_quality, op8_token_files, op9_virtual_slots, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op4_chat_format": OP4_SQL, "op6_warc": OP6_SQL}
+    return {"op2_top_k": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_warc": OP6_SQL}
