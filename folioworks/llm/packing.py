@@ -98,13 +98,13 @@ def greedy_patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[in
     return out
 
 
-def fractional_patterns(demand: dict[int, int], capacity: int, rounds: int = 3000, gap: float = 0.002) -> list[tuple[dict[int, int], float]]:
+def fractional_patterns(demand: dict[int, int], capacity: int, rounds: int = 1500, gap: float = 0.002) -> list[tuple[dict[int, int], float]]:
     """Patterns and their amounts in the linear program: least total amount that covers demand (sizes to counts).
 
     Revised simplex over the basis inverse. Columns come from a pool that starts with the greedy patterns; when the
     pool has no improving column left, the knapsack prices all patterns and adds the best. Ends when that pattern
-    proves the total to be within the share `gap` of the optimum (the total over its worth is a lower bound), or
-    after `rounds` pivots.
+    proves the total to be within the share `gap` of the optimum (the total over its worth is a lower bound), after `rounds` pivots,
+    or when pivots no longer lower the total.
     """
     sizes = sorted(demand)
     row = {s: i for i, s in enumerate(sizes)}
@@ -119,8 +119,10 @@ def fractional_patterns(demand: dict[int, int], capacity: int, rounds: int = 300
     columns = np.array([dense(p) for p in pool]).T
     basis: list[dict[int, int]] = [{s: capacity // s} for s in sizes]
     inverse = np.diag(1.0 / np.array([capacity // s for s in sizes]))
-    need = np.array([demand[s] for s in sizes], float)
+    # A trace more of each size, each its own, keeps pivots from going round in ties.
+    need = np.array([demand[s] for s in sizes], float) * (1 + 1e-6 * np.random.default_rng(0).random(m))
     amount = inverse @ need
+    since, total = 0, np.inf
     for turn in range(rounds):
         duals = inverse.sum(axis=0)
         worths = duals @ columns
@@ -151,6 +153,12 @@ def fractional_patterns(demand: dict[int, int], capacity: int, rounds: int = 300
             except np.linalg.LinAlgError:
                 break
         amount = np.maximum(inverse @ need, 0)
+        if not np.abs(inverse).max() < 1e7:
+            break
+        if amount.sum() < total * (1 - 1e-5):
+            since, total = turn, amount.sum()
+        elif turn - since > 100:
+            break
     return [(p, float(x)) for p, x in zip(basis, amount, strict=True) if x > 1e-9]
 
 
@@ -167,7 +175,9 @@ def whole_patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int
                 out.append((pattern, times))
                 for s, k in pattern.items():
                     left[s] -= k * times
-    return out + greedy_patterns(left, capacity)
+    out += greedy_patterns(left, capacity)
+    plain = greedy_patterns(demand, capacity)  # never worse than without the program
+    return min(out, plain, key=lambda p: sum(n for _, n in p))
 
 
 def pattern_table(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -231,3 +241,8 @@ def default_tokenizer() -> str:
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pack(hold(token_pieces(docs, tokenizer or default_tokenizer()), "pieces"))
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of docs."""
+    return pack(hold(token_pieces(docs, default_tokenizer()), "pieces"))
