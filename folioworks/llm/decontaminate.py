@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import code_points, read_table, slices, texts_of, tune
+from folioworks.llm.common import code_points, hold, read_table, slices, texts_of, tune
 
 ERROR_RATE = 0.08
 #: Characters of benchmark text that workers hold at a time, about.
 BLOCK_BYTES = 8 << 20
-SEPARATOR = "\n"
+#: Bytes of leaked keys up to which they are broadcast to the texts.
+BROADCAST_BYTES = 32 << 20
 
 _STATE: dict = {}
 
@@ -244,5 +245,6 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
-    leaked = matches(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    leaked = hold(matches(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    side = F.broadcast(leaked) if leaked.count() * 16 <= BROADCAST_BYTES else leaked
+    return docs.join(side, docs["doc_id"] == side["_leaked"], "left_anti").select("doc_id", "text", "lang", "source", "n_chars")

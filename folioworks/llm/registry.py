@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from folioworks.llm.chat import OP4_SQL, op4_chat_format
 from folioworks.llm.decontaminate import op1_decontaminate
 from folioworks.llm.jaccard import OP3_SQL, op3_jaccard_join
@@ -19,8 +20,10 @@ from folioworks.llm.warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_top_k, op3_jaccard_join, op4_chat_format, op5_langid, op6_warc, op7_quality, op8_token_files, op9_virtual_slots, op10_packing)}
+    ops = (op1_decontaminate, op2_top_k, op3_jaccard_join, op4_chat_format, op5_langid, op6_warc, op7_quality, op8_token_files, op9_virtual_slots, op10_packing)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_warc": OP6_SQL}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return whole | {"op2_top_k": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_warc": OP6_SQL}
