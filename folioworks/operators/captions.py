@@ -84,17 +84,20 @@ def entities(c: Column) -> Column:
     return c
 
 
-def merged_rolling(cues: Column) -> Column:
-    """The words of all cues; of each cue the longest start that the words so far end with is left out."""
+def rolled(cues: list[str]) -> list[str]:
+    tokens: list[str] = []
+    for cue in cues:
+        own = re.split(_BLANKS, re.sub(_EDGES, "", cue or "")) if re.sub(_EDGES, "", cue or "") else []
+        k = next((k for k in range(min(len(tokens), len(own)), 0, -1) if tokens[-k:] == own[:k]), 0)
+        tokens += own[k:]
+    return tokens
 
-    def step(tokens: Column, cue: Column) -> Column:
-        own = words(cue)
-        most = F.least(F.size(tokens), F.size(own))
-        sizes = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        overlap = F.coalesce(F.get(F.filter(sizes, lambda k: F.slice(tokens, F.size(tokens) - k + 1, k) == F.slice(own, F.lit(1), k)), F.lit(0)), F.lit(0))
-        return F.concat(tokens, F.slice(own, overlap + 1, F.size(own)))
 
-    return F.aggregate(cues, F.array().cast("array<string>"), step)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def merged_rolling(cues: pd.Series) -> pd.Series:
+    """The words of all cues; of each cue the longest start that the words so far end with is left out. The words so far
+    grow with each cue, which a fold of built-in functions would copy each time."""
+    return pd.Series([rolled(list(c)) if c is not None else None for c in cues])
 
 
 #: Tokens with a point that end no sentence.
@@ -162,6 +165,8 @@ def milliseconds_srt(cues: Column, default_ms: int = 1000) -> Column:
     return F.array_join(F.transform(cues, one), "\n")
 
 
+_BLANKS = re.compile("[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_EDGES = re.compile(f"^{_BLANKS.pattern}|{_BLANKS.pattern}\\Z")
 _WIDE = re.compile("[　-〿぀-ヿ㐀-䶿一-鿿가-힯豈-﫿＀-￯\U00020000-\U0002fa1f]")
 
 

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioworks.functions.strings import scoring_chars, scoring_words, similarity
 
 
+@F.pandas_udf(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]))
+def coded_words(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Both word arrays as texts with a character per word: equal words are equal characters."""
+
+    def code(names: dict, ws) -> str:
+        places = (names.setdefault(w, len(names)) for w in (ws if ws is not None else []))
+        return "".join(chr(0x4E00 + i) if 0x4E00 + i < 0xD800 else chr(0x10000 + i) for i in places)
+
+    rows = []
+    for x, y in zip(a, b, strict=True):
+        names: dict = {}
+        rows.append((code(names, x), code(names, y)))
+    return pd.DataFrame(rows, columns=["a", "b"])
+
+
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two word arrays: each distinct word becomes a character, then the built-in distance counts."""
-    names = F.array_distinct(F.concat(a, b))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, w) + F.lit(0x4E00)), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(coded(a), coded(b))
+    """Edit distance of two word arrays: words become characters, then the built-in distance counts."""
+    coded = coded_words(a, b)
+    return F.levenshtein(coded["a"], coded["b"])
 
 
 def error_rates(pairs: DataFrame, group: str, reference: str, hypothesis: str, by_chars: bool = False) -> DataFrame:
