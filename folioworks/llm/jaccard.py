@@ -13,10 +13,11 @@ That slack carries the load of frequent content: every set may leave out its `sl
 for all, by the number of sets that have a signature) and still meets each partner in one that both keep. Passages
 that many documents share so drop out by themselves, without a cap; what is left are groups of near copies.
 
-Candidates are verified in two rounds. First every node is compared with one leader, the node that leads most of its
-signatures; verified links are contracted to components. Then all pairs that share a kept signature but not a component
-are compared. No pair within a component needs a comparison, so a group of copies costs as many comparisons as it has
-nodes. Verification works on whole texts, shingled anew.
+Nodes that share a kept signature, directly or through others, are a cluster; no link leaves a cluster. Clusters are
+verified in tiles: a cluster within TILE nodes is one tile; a larger one is cut into bands of sizes whose partners lie in
+the same or the next band, and bands into blocks, and each pair of blocks is a tile. A tile's task shingles the texts anew,
+counts all intersections at once (a matrix product for elements in many sets, pair counts for the rest) and gives a
+spanning set of its links, so no pair is ever a row and memory is bounded by a tile.
 
 Sets too thin for a band's parts (too few alive groups) use a second family with parts for single elements; a pair is
 met in the first family if either is thick enough, and in the second if both are thin.
@@ -46,9 +47,13 @@ PERCENT = 75
 #: Bands of sizes [2**i, 2**(i+1)).
 BANDS = 32
 #: Up to this upper size a band uses groups of 3 parts and subsets of 2; beyond it groups of 1.
-SUBSET_SIZES = 256
-#: Slack of a band as a share of its upper size.
-SLACK = 0.05
+SUBSET_SIZES = 64
+#: Up to this upper size passages weigh much, and a band has fine parts and much slack.
+SHORT_SIZES = 512
+#: Nodes and elements of a block; a tile has two.
+TILE, TILE_ELEMENTS = 1024, 2_000_000
+#: Sets of a tile from which an element is counted by a matrix product.
+FREQUENT = 64
 #: Signatures that a task holds before it deals them out.
 FLUSH = 2_000_000
 #: Bytes of node keys up to which they are broadcast to the scan of the texts.
@@ -110,10 +115,11 @@ class Scheme:
     def __init__(self, band: int, fine: bool):
         self.upper = 1 << (band + 1)
         self.n2, self.k2 = (1, 0) if fine or self.upper > SUBSET_SIZES else (3, 1)
-        parts = 64 * self.upper if fine else math.ceil(self.upper / (2 if self.n2 == 1 else 1.2))
+        short = self.upper <= SHORT_SIZES
+        parts = 64 * self.upper if fine else math.ceil(self.upper / (1.25 if short else 2))
         self.groups = -(-parts // self.n2)
         self.seed = np.uint64(mix(np.array([band * 2 + fine + 1], np.uint64))[0])
-        self.slack = max(1, math.ceil(SLACK * self.upper / (self.k2 + 1)))
+        self.slack = max(1, math.ceil((0.2 if short else 0.05) * self.upper / (self.k2 + 1)))
         self.subsets = list(combinations(range(self.n2), self.n2 - self.k2))
 
     def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, int] | None:
@@ -313,39 +319,89 @@ def kept_signatures(shared: DataFrame) -> DataFrame:
     return whole.withColumn("upto", F.sum("times").over(upto)).where("upto > slack").select("bucket", "node", "times")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have Jaccard at least PERCENT hundredths.
-
-    nodes: node and doc_id of a document with its set. A leader u meets its v's in as many tasks as they need; each
-    task streams over them and holds one leader's set.
-    """
-    spark = docs.sparkSession
-    wanted = hold(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_doc")), "wanted")
-    side = F.broadcast(wanted) if wanted.count() * 32 <= BROADCAST_BYTES else wanted
-    texts = docs.join(side, docs["doc_id"] == side["_doc"]).select("node", "text")
-    many = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / 400).alias("ways"))
-    dealt = pairs.join(many, "u").withColumn("way", F.pmod(F.xxhash64("v"), F.col("ways")))
-    leaders = dealt.select("u", "way").distinct().join(texts, F.col("u") == F.col("node")).select("u", "way", F.lit(0).alias("member"), "node", "text")
-    members = dealt.join(texts, F.col("v") == F.col("node")).select("u", "way", F.lit(1).alias("member"), "node", "text")
-    rows = leaders.unionByName(members).repartition("u", "way").sortWithinPartitions("u", "way", "member")
+def tiles(clustered: DataFrame) -> DataFrame:
+    """node and the keys of the tiles it takes part in; clustered: node, n and cluster."""
+    counts = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("elements"))
+    large = (F.col("m") > TILE) | (F.col("elements") > TILE_ELEMENTS)
+    # Sizes of linked sets differ by less than 4/3, so by one band at most.
+    banded = clustered.join(counts, "cluster").withColumn("band", F.when(large, F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")).otherwise(F.lit(0)))
+    blocks = banded.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_ELEMENTS)).cast("int").alias("blocks"))
+    blocks = hold(blocks, "blocks")
+    near = lambda step, name: blocks.select("cluster", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    placed = banded.join(blocks, ["cluster", "band"]).join(near(1, "above"), ["cluster", "band"], "left").join(near(-1, "below"), ["cluster", "band"], "left")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    key = lambda band, kind, i, j: F.xxhash64(F.col("cluster"), band, F.lit(kind), i, j)
+    keys = F.concat(
+        F.transform(upto("blocks"), lambda j: key(F.col("band"), 0, F.least(F.col("block"), j), F.greatest(F.col("block"), j))),
+        F.transform(upto("above"), lambda j: key(F.col("band"), 1, F.col("block"), j)),
+        F.transform(upto("below"), lambda j: key(F.col("band") - 1, 1, j, F.col("block"))),
+    )
+    return placed.withColumn("block", block).select("node", keys.alias("tiles"))
+
+
+def tile_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span the components of a tile: (least place of the component, place)."""
+    m = len(sets)
+    sizes = np.array([len(e) for e in sets], np.int64)
+    owner = np.repeat(np.arange(m), sizes)
+    _, element, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros((m, m), np.int64)
+    often = np.flatnonzero(df > FREQUENT)
+    for a in range(0, len(often), 2048):
+        column = np.full(len(df), -1)
+        column[often[a : a + 2048]] = np.arange(len(often[a : a + 2048]))
+        at = column[element]
+        dense = np.zeros((m, len(often[a : a + 2048])), np.float32)
+        dense[owner[at >= 0], at[at >= 0]] = 1
+        common += (dense @ dense.T).astype(np.int64)
+    some = (df[element] > 1) & (df[element] <= FREQUENT)
+    order = np.argsort(element[some], kind="stable")
+    who, what = owner[some][order], element[some][order]
+    count = df[what]
+    first = np.searchsorted(what, what)
+    for a in range(0, len(who), 100_000):  # each element's owner with all owners of the element
+        n = count[a : a + 100_000]
+        other = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first[a : a + 100_000], n)
+        np.add.at(common, (np.repeat(who[a : a + 100_000], n), who[other]), 1)
+    linked = (100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)) & (sizes[:, None] > 0)
+    np.fill_diagonal(linked, True)
+    label = np.arange(m)
+    while True:
+        least = np.where(linked, label[None, :], m).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    return [(int(label[i]), i) for i in np.flatnonzero(label != np.arange(m)).tolist()]
+
+
+def verified(tiled: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) that span the components of all tiles. tiled: node and tiles; nodes: node and doc_id of a document
+    with its set. A text travels once per tile of its node."""
+    wanted = hold(tiled.join(nodes, "node").select("node", F.col("doc_id").alias("_doc"), "tiles"), "wanted")
+    side = F.broadcast(wanted) if wanted.count() * 64 <= BROADCAST_BYTES else wanted
+    texts = docs.join(side, docs["doc_id"] == side["_doc"]).select("node", "text", F.explode("tiles").alias("tile"))
+    rows = texts.repartition("tile").sortWithinPartitions("tile")
 
     def run(batches):
-        leader, own = None, np.zeros(0, np.uint64)
+        def closed():
+            found = tile_links(members, sets) if len(members) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([members[i] for i, _ in found], pa.int64()), pa.array([members[j] for _, j in found], pa.int64())], names=["u", "v"])
+
+        current, members, sets = None, [], []
         for batch in batches:
-            out = ([], [])
             for part in slices(batch, "text"):
-                for u, member, node, e in zip(part.column("u").to_pylist(), part.column("member").to_pylist(), part.column("node").to_pylist(), shingle_sets(part.column("text")), strict=True):
-                    if node_of(e) != node:
-                        continue  # another text of a repeated doc_id
-                    if not member:
-                        leader, own = u, e
-                    elif leader == u:
-                        common = len(np.intersect1d(own, e, assume_unique=True))
-                        if 100 * common >= PERCENT * (len(own) + len(e) - common):
-                            out[0].append(u)
-                            out[1].append(node)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
+                for tile, node, e in zip(part.column("tile").to_pylist(), part.column("node").to_pylist(), shingle_sets(part.column("text")), strict=True):
+                    if tile != current:
+                        if members:
+                            yield closed()
+                        current, members, sets = tile, [], []
+                    if node_of(e) == node:  # else another text of a repeated doc_id
+                        members.append(node)
+                        sets.append(e)
+        if members:
+            yield closed()
 
     return hold(rows.mapInArrow(run, "u long, v long"), "links")
 
@@ -360,22 +416,10 @@ def linked_components(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = shared_signatures(dealt_signatures(docs.where("doc_id IS NOT NULL"), parts), parts)
     kept = hold(kept_signatures(shared), "kept")
-    # Round one: each node with the leader of most of its signatures.
-    heads = kept.groupBy("bucket").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "u")
-    votes = kept.join(heads, "bucket").where("node <> u").groupBy("node", "u").agg(F.sum("times").alias("votes"))
-    leaders = hold(votes.groupBy("node").agg(F.max_by("u", F.struct("votes", F.negate("u"))).alias("u")).select("u", F.col("node").alias("v")), "leaders")
-    first = verified(leaders, docs, nodes)
-    groups = components(first)
-    # Round two: all pairs of a kept signature that are not in one component yet.
-    labelled = kept.select("bucket", "node").join(heads.select("bucket"), "bucket").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-    left = hold(labelled.join(several, "bucket").join(nodes.select("node", "n"), "node"), "open")
-    one, other = (left.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("node", "component", "n"))) for i in (1, 2))
-    sizes_fit = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * PERCENT
-    pairs = one.join(other, "bucket").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & sizes_fit).select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct()
-    pairs = hold(pairs.join(leaders.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs")
-    second = verified(pairs, docs, nodes)
-    groups = components(first.unionByName(second))
+    heads = kept.groupBy("bucket").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("bucket", "u")
+    clusters = components(kept.join(heads, "bucket").where("node <> u").select("u", F.col("node").alias("v")))
+    whole = clusters.select("node", F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct())
+    groups = components(verified(tiles(hold(whole.join(nodes, "node").select("node", "n", "cluster"), "clustered")), docs, nodes))
     # The smallest doc_id of each component, for the nodes that are not alone with one document.
     rooted = nodes.join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
