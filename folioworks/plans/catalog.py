@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import arrays, routing, strings, timecode
-from folioworks.operators import alignment, captions, chunking, epub, languages, layout, repetition, scoring, sentences, transcripts
+from folioworks.operators import alignment, captions, chunking, epub, languages, layout, layout_blocks, repetition, scoring, sentences, transcripts
 
 CHUNK_BUDGET = 2000
 #: Pause after which an event opens a new paragraph or session, in seconds.
@@ -455,6 +455,14 @@ def ranked_languages(spark, d):
     return rows.select("id", languages.ranked_languages(F.array(*(F.lit(x) for x in ("fr", "zh-Hans", "en", "en-orig"))), F.coalesce("asked", F.lit(""))).alias("ranked"))
 
 
+@query()
+def layout_markdown(spark, d):
+    """Conversations as tagged pages: each turn a block that the next page's continues, rendered to Markdown."""
+    tag = F.concat(F.lit("<PAGE><BLOCK>"), F.when(F.col("turn") == 0, "cross_text").otherwise("append_text"), F.lit("[0, 0, 999, 999]<FORK>"), F.col("text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", tag.alias("t")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "").alias("raw"))
+    return rows.select("conv_id", layout_blocks.markdown(F.col("raw")).alias("markdown"))
+
+
 @query()
 def alignment_units(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", alignment.units(F.col("text")).alias("units"))
