@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import arrays, routing, strings, timecode
-from folioworks.operators import alignment, captions, chunking, epub, languages, layout, layout_blocks, repetition, scoring, sentences, transcripts
+from folioworks.operators import alignment, captions, chunking, epub, languages, layout, layout_blocks, readable, repetition, scoring, sentences, transcripts
 
 CHUNK_BUDGET = 2000
 #: Pause after which an event opens a new paragraph or session, in seconds.
@@ -455,6 +455,12 @@ def ranked_languages(spark, d):
     return rows.select("id", languages.ranked_languages(F.array(*(F.lit(x) for x in ("fr", "zh-Hans", "en", "en-orig"))), F.coalesce("asked", F.lit(""))).alias("ranked"))
 
 
+@query()
+def readable_html(spark, d):
+    rows = table(spark, d, "pages").select("page_id", readable.readable_html(F.col("html")).alias("r"))
+    return rows.select("page_id", "r.title", "r.author", "r.markdown")
+
+
 @query()
 def layout_markdown(spark, d):
     """Conversations as tagged pages: each turn a block that the next page's continues, rendered to Markdown."""
