@@ -15,6 +15,11 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 CJK = r"\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{ff00}-\x{ffef}\x{20000}-\x{2fa1f}"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; a plain repetition of an expression inside lambdas is computed each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
 
@@ -89,22 +94,28 @@ def cleaned_title(c: Column) -> Column:
 
 def title(content: Column, fallback: Column) -> Column:
     """The first level-one heading, else the first underlined line, else the first plain one of five; cleaned."""
+
+    def of(rows: Column) -> Column:
+        first = lambda a: F.get(a, F.lit(0))
+        heading = F.nullif(strip(F.substr(first(F.filter(rows, lambda x: x.startswith("# "))), F.lit(3))), F.lit(""))
+        under = first(F.filter(rows, lambda x, i: F.coalesce(F.get(rows, i + 1).rlike(r"^(=+|-+)\z"), F.lit(False))))
+        plain = first(F.filter(F.slice(rows, 1, 5), lambda x: ~x.rlike(r"^([#!\[<{]|:::|---|(?i:http))")))
+        return F.coalesce(heading, F.nullif(under, F.lit("")), plain)
+
     rows = F.filter(F.transform(F.split(strip(content), "\n", -1), strip), lambda x: x != "")
-    first = lambda a: F.get(a, F.lit(0))
-    heading = first(F.transform(F.filter(rows, lambda x: x.startswith("# ")), lambda x: strip(F.substr(x, F.lit(3)))))
-    pairs = F.arrays_zip(F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0))).alias("a"), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))).alias("b"))
-    under = first(F.transform(F.filter(pairs, lambda p: p["b"].rlike(r"^(=+|-+)\z")), lambda p: p["a"]))
-    plain = first(F.filter(F.slice(rows, 1, 5), lambda x: ~x.rlike(r"^([#!\[<{]|:::|---|(?i:http))")))
-    found = cleaned_title(F.coalesce(F.nullif(heading, F.lit("")), F.nullif(under, F.lit("")), plain))
+    found = cleaned_title(let(rows, of))
     return F.coalesce(F.nullif(found, F.lit("")), fallback)
 
 
 def short_title(content: Column, fallback: Column) -> Column:
     """The first level-one heading, else the first plain line of at most 100 characters."""
-    rows = F.transform(F.split(content, "\n", -1), strip)
-    heading = F.get(F.filter(F.transform(F.filter(rows, lambda x: x.startswith("# ")), lambda x: strip(F.substr(x, F.lit(3)))), lambda x: x != ""), F.lit(0))
-    plain = F.get(F.filter(rows, lambda x: (x != "") & ~x.startswith("#") & (F.length(x) <= 100)), F.lit(0))
-    return F.coalesce(heading, plain, fallback)
+
+    def of(rows: Column) -> Column:
+        heading = F.get(F.filter(F.transform(F.filter(rows, lambda x: x.startswith("# ")), lambda x: strip(F.substr(x, F.lit(3)))), lambda x: x != ""), F.lit(0))
+        plain = F.get(F.filter(rows, lambda x: (x != "") & ~x.startswith("#") & (F.length(x) <= 100)), F.lit(0))
+        return F.coalesce(heading, plain)
+
+    return F.coalesce(let(F.transform(F.split(content, "\n", -1), strip), of), fallback)
 
 
 def file_name(title_: Column, suffix: str, extension: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.functions.strings import SPACE, normalized, strip, title
+from folioworks.functions.strings import SPACE, let, normalized, strip, title
 
 BUDGET = 40000
 #: Fixed value: what stands between combined sections.
@@ -71,19 +71,34 @@ def paragraph_chunks(content: Column, budget: int) -> Column:
 def text_context(content: Column, fallback_title: Column, budget: int = BUDGET) -> Column:
     """struct(title, chunk_list, split_header_level). The smallest heading level that gives several sections, all within
     the budget, splits the text; where none does, paragraphs do. Sections are then packed up to the budget."""
-    chunks, level = None, None
-    for k in range(1, 7):
-        found = sections(content, k)
-        fine = (F.size(found) > 1) & (F.array_max(F.transform(found, lambda x: F.length(x))) <= budget)
-        chunks = F.when(fine, found) if chunks is None else chunks.when(fine, found)
-        level = F.when(fine, k) if level is None else level.when(fine, k)
-    split = chunks.otherwise(paragraph_chunks(content, budget))
-    small = F.length(content) <= budget
-    return F.struct(
-        title(content, fallback_title).alias("title"),
-        F.when(content == "", _none()).when(small, F.array(content)).otherwise(_packed(split, budget, SEPARATOR)).alias("chunk_list"),
-        F.when(~small, level).cast("tinyint").alias("split_header_level"),
-    )
+
+    def level_or(k: int, rest: Column):
+        def of_level(found: Column) -> Column:
+            fine = (F.size(found) > 1) & (F.array_max(F.transform(found, lambda x: F.length(x))) <= budget)
+            return F.when(fine, F.struct(F.lit(k).alias("level"), found.alias("parts"))).otherwise(rest)
+
+        return of_level
+
+    def split(text: Column) -> Column:
+        """struct(level, parts) of the first level that works, else of paragraphs; later levels are not looked at."""
+        out = F.struct(F.lit(None).cast("int").alias("level"), paragraph_chunks(text, budget).alias("parts"))
+        for k in range(6, 0, -1):
+            out = let(sections(text, k), level_or(k, out))
+        return out
+
+    def of(text: Column) -> Column:
+        small = F.length(text) <= budget
+        chosen = F.when(~small, split(text))
+        return let(
+            chosen,
+            lambda c: F.struct(
+                title(text, fallback_title).alias("title"),
+                F.when(text == "", _none()).when(small, F.array(text)).otherwise(_packed(c["parts"], budget, SEPARATOR)).alias("chunk_list"),
+                c["level"].cast("tinyint").alias("split_header_level"),
+            ),
+        )
+
+    return let(content, of)
 
 
 def chunk_rows(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
