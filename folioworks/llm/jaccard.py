@@ -19,8 +19,8 @@ the same or the next band, and bands into blocks, and each pair of blocks is a t
 counts all intersections at once (a matrix product for elements in many sets, pair counts for the rest) and gives a
 spanning set of its links, so no pair is ever a row and memory is bounded by a tile.
 
-Sets too thin for a band's parts (too few alive groups) use a second family with parts for single elements; a pair is
-met in the first family if either is thick enough, and in the second if both are thin.
+Sets too thin for a band's parts (too few alive groups) also use a second family with parts for single elements; a pair
+is met in the first family if either is thick enough, and in the second if both are thin.
 
 Defined results: null texts and texts without words have the empty set, 0 shingles, and only themselves; null doc_ids
 have component null and link with nothing; repeated rows, also of one doc_id, are returned one by one; an empty table
@@ -122,8 +122,9 @@ class Scheme:
         self.slack = max(1, math.ceil((0.2 if short else 0.05) * self.upper / (self.k2 + 1)))
         self.subsets = list(combinations(range(self.n2), self.n2 - self.k2))
 
-    def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, int] | None:
-        """The set's signatures and its slack; None if the set is too thin for this scheme."""
+    def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, int, bool]:
+        """The set's signatures, its slack, and whether it is thick enough to be sure of meeting every partner here. A thin
+        set gives all it has and leaves nothing out, so that thick partners meet it."""
         with np.errstate(over="ignore"):
             mixed = mix(elements ^ self.seed)
             part = ((mixed >> np.uint64(32)) * np.uint64(self.groups * self.n2) >> np.uint64(32)).astype(np.int64)
@@ -133,9 +134,8 @@ class Scheme:
             filled = sums != 0
             alive = np.flatnonzero(filled.sum(axis=1) > self.k2)
             need = most_differences(len(elements)) // (self.k2 + 1) + 1
-            if len(alive) < need:
-                return None
-            slack = min(self.slack, len(alive) - need)
+            thick = len(alive) >= need
+            slack = min(self.slack, len(alive) - need) if thick else 0
             upto = int(alive[need + slack - 1]) + 1 if slack == self.slack else self.groups
             group = np.arange(upto, dtype=np.uint64)
             out = []
@@ -146,7 +146,7 @@ class Scheme:
                 for j in chosen:
                     total = mix(total + sums[:upto, j])
                 out.append(mix(total + group * np.uint64(8) + np.uint64(i) ^ self.seed)[some])
-            return np.concatenate(out), slack
+            return np.concatenate(out), slack, thick
 
 
 _SCHEMES: dict[tuple[int, bool], Scheme] = {}
@@ -170,13 +170,13 @@ def set_signatures(elements: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
         return []
     out = []
     for band in bands_of(len(elements)):
-        fine = False
-        found = scheme(band, False).signatures(elements)
-        if found is None:
-            fine, found = True, scheme(band, True).signatures(elements)
-        if found is None:
+        for fine in (False, True):
+            found, slack, thick = scheme(band, fine).signatures(elements)
+            out.append((band + BANDS * fine, slack, found))
+            if thick:
+                break
+        else:
             raise ValueError("a set is too thin for single elements")
-        out.append((band + BANDS * fine, found[1], found[0]))
     return out
 
 
