@@ -11,7 +11,7 @@ from folioworks.functions.strings import strip
 #: Browsers whose cookies are tried by themselves, in order.
 BROWSERS = ("chrome:default", "chromium", "brave", "edge", "vivaldi", "opera", "firefox", "safari", "whale")
 #: Platforms that answer signed-in users only.
-SIGNED_IN = ("xiaohongshu",)
+SIGNED_IN = ("bilibili", "xiaohongshu")
 #: Stream selectors per platform, with the sound format to extract, in order.
 STREAMS = {
     "bilibili": (("bestaudio", None), ("bestaudio[ext=m4a]", "m4a"), ("best[acodec!=none]", "m4a"), ("best", "m4a")),
