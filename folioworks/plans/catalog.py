@@ -28,8 +28,16 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables whose rows cost much more to compute on than to move.
+TEXTS = ("documents", "pages", "conversations", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One of TEXTS that comes in fewer splits than there are cores (a small file) is dealt over the cores; a
+    table of many files is read where it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
