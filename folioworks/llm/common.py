@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -55,6 +56,28 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def worker_state(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks. A worker serves one operator after another, so another
+    one's state goes, and memory that was freed is given back."""
+    if owner not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[owner] = {}
+    return _HELD[owner]
+
+
+def release() -> None:
+    """Gives freed memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
 
@@ -70,7 +93,7 @@ def texts_of(column: pa.Array) -> tuple[str, np.ndarray]:
     return "".join(s for s in strings if s), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts in column hold at most most_bytes, or one row where a single text is longer."""
     values = batch.column(column)
     if values.null_count == len(values):
@@ -106,7 +129,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, math.ceil(math.log2(max(n, 2))) + 1)
+    size = 1 << max(16, math.ceil(math.log2(n + 2)))
     if 0 not in _POWERS or len(_POWERS[0][0]) < n + 1:
         with np.errstate(over="ignore"):
             up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INVERSE, np.uint64)

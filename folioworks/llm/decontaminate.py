@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import code_points, hold, read_table, slices, texts_of, tune
+from folioworks.llm.common import code_points, hold, read_table, slices, texts_of, tune, worker_state
 
 ERROR_RATE = 0.08
 #: Characters of benchmark text that workers hold at a time, about.
@@ -32,17 +32,16 @@ BLOCK_BYTES = 8 << 20
 #: Bytes of leaked keys up to which they are broadcast to the texts.
 BROADCAST_BYTES = 32 << 20
 
-_STATE: dict = {}
-
 
 def fold_table() -> np.ndarray:
     """The folded character of each code point: lower-case letters and digits stay, all else is a blank."""
-    if "fold" not in _STATE:
+    state = worker_state("decontaminate")
+    if "fold" not in state:
         table = np.full(0x110000, 32, np.uint32)
         kept = np.fromiter((c for c in range(0x110000) if chr(c).isalnum()), np.int64)
         table[kept] = np.fromiter((ord(chr(c).lower()[0]) for c in kept), np.uint32, len(kept))
-        _STATE["fold"] = table
-    return _STATE["fold"]
+        state["fold"] = table
+    return state["fold"]
 
 
 def folded(text: str, bounds: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
@@ -87,7 +86,7 @@ def myers(masks: dict[str, int], m: int, window: str, k: int) -> tuple[int, int]
     """The least edit distance of the item to any part of window, and that part's end; (k + 1, 0) if it exceeds k."""
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
-    best, end, left = k + 1, 0, len(window)
+    best, end, left = min(m, k + 1), 0, len(window)
     for i, c in enumerate(window):
         equal = masks.get(c, 0)
         vertical = equal | minus
@@ -197,9 +196,10 @@ class Matcher:
 
 
 def matcher(tag: str, items: list[tuple[int, str]], rate: float) -> Matcher:
-    if _STATE.get("tag") != tag:
-        _STATE["tag"], _STATE["matcher"] = tag, Matcher(items, rate)
-    return _STATE["matcher"]
+    state = worker_state("decontaminate")
+    if state.get("tag") != tag:
+        state["tag"], state["matcher"] = tag, Matcher(items, rate)
+    return state["matcher"]
 
 
 MATCHES = "doc_id long, item_id long, distance int, item_chars int, start long, end long"

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import code_points, hold, mix, range_hashes, read_table, slices, texts_of, tune
+from folioworks.llm.common import code_points, hold, mix, range_hashes, read_table, slices, texts_of, tune, worker_state
 from folioworks.llm.graph import components
 
 WORDS = 5
@@ -55,7 +55,7 @@ TILE, TILE_ELEMENTS = 1024, 2_000_000
 #: Sets of a tile from which an element is counted by a matrix product.
 FREQUENT = 64
 #: Signatures that a task holds before it deals them out.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Bytes of node keys up to which they are broadcast to the scan of the texts.
 BROADCAST_BYTES = 32 << 20
 
@@ -149,13 +149,11 @@ class Scheme:
             return np.concatenate(out), slack, thick
 
 
-_SCHEMES: dict[tuple[int, bool], Scheme] = {}
-
-
 def scheme(band: int, fine: bool) -> Scheme:
-    if (band, fine) not in _SCHEMES:
-        _SCHEMES[band, fine] = Scheme(band, fine)
-    return _SCHEMES[band, fine]
+    state = worker_state("jaccard")
+    if (band, fine) not in state:
+        state[band, fine] = Scheme(band, fine)
+    return state[band, fine]
 
 
 def bands_of(size: int) -> list[int]:

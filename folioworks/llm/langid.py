@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import code_points, mix, read_table, slices, texts_of, tune
+from folioworks.llm.common import code_points, mix, read_table, slices, texts_of, tune, worker_state
 
 SYMBOLS = 36
 N = 3
@@ -35,30 +35,30 @@ TRAIN_DOCS = 3000
 TEMPERATURE = 0.05
 UNDETERMINED = "und"
 
-_STATE: dict[str, np.ndarray] = {}
-
 
 def symbol_table() -> np.ndarray:
     """The symbol of every code point: 0 for what is no letter, a to z 1 to 26, other letters a hash into the rest."""
-    if "symbols" not in _STATE:
+    state = worker_state("langid")
+    if "symbols" not in state:
         table = np.zeros(0x110000, np.uint8)
         letters = np.fromiter((c for c in range(0x110000) if chr(c).isalpha()), np.int64)
         lowered = np.fromiter((ord(chr(c).lower()[0]) for c in letters), np.int64, len(letters))
         spare = SYMBOLS - 27
         table[letters] = np.where((lowered >= 97) & (lowered <= 122), lowered - 96, 27 + (mix(lowered.astype(np.uint64)) % np.uint64(spare)).astype(np.int64))
-        _STATE["symbols"] = table
-    return _STATE["symbols"]
+        state["symbols"] = table
+    return state["symbols"]
 
 
 def gram_vectors() -> np.ndarray:
     """The vectors of all SYMBOLS**N n-grams: products of the letters' vectors, rotated by place."""
-    if "grams" not in _STATE:
+    state = worker_state("langid")
+    if "grams" not in state:
         letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
         grams = letters
         for place in range(1, N):
             grams = (np.roll(letters, place, axis=1)[:, None, :] * grams[None, :, :]).reshape(-1, DIMENSIONS)
-        _STATE["grams"] = grams.astype(np.float32)
-    return _STATE["grams"]
+        state["grams"] = grams
+    return state["grams"]
 
 
 def text_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +81,7 @@ def text_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             code = code * SYMBOLS + s[k : len(s) - N + 1 + k]
         counts = np.bincount(code, minlength=0)
         which = np.flatnonzero(counts)
-        v = counts[which].astype(np.float32) @ grams[which]
+        v = counts[which].astype(np.float32) @ grams[which].astype(np.float32)
         norm = float(np.sqrt(v @ v))
         if norm:
             out[i] = v / norm

@@ -15,13 +15,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from folioworks.llm.common import code_points, range_hashes, spread, texts_of
+from folioworks.llm.common import code_points, range_hashes, spread, texts_of, worker_state
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: The contractions of the splitting pattern of byte_bpe_50k.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Pre-tokens whose ids a Python worker keeps.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 
 _CLASSES: np.ndarray | None = None
 
@@ -151,14 +151,12 @@ class Encoder:
         return out, upto[np.searchsorted(starts, bounds)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of a Python worker, loaded once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    state = worker_state("tokens")
+    if path not in state:
+        state[path] = Encoder(path)
+    return state[path]
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
