@@ -18,6 +18,10 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +38,14 @@ TRAIN_DOCS = 3000
 #: Softmax temperature of the score.
 TEMPERATURE = 0.05
 UNDETERMINED = "und"
+#: Cosine that the pipeline asks for where a language has too few training texts for a bound of its own.
+LEAST_COSINE = 0.05
+#: Classes of evidence, the share of training texts that may fall below a language's mark, training texts (and beginnings
+#: of them) that a class needs for one, and the share of the mark that a document must reach.
+CLASSES = 48
+LOW_SHARE = 0.01
+LEAST_TEXTS = 20
+LEAST_SHARE = 0.5
 
 
 def symbol_table() -> np.ndarray:
@@ -61,41 +73,62 @@ def gram_vectors() -> np.ndarray:
     return state["grams"]
 
 
-def text_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the texts and whether each has a letter (vectors of those without are 0)."""
+def text_grams(column: pa.Array) -> Iterator[np.ndarray]:
+    """The n-grams of each text as places in gram_vectors(), in order; none for a text without letters."""
     text, bounds = texts_of(column)
     symbols = symbol_table()[code_points(text)].astype(np.int64) if text else np.zeros(0, np.int64)
-    grams = gram_vectors()
-    out, lettered = np.zeros((len(bounds) - 1, DIMENSIONS), np.float32), np.zeros(len(bounds) - 1, bool)
-    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         s = symbols[a:b]
         letter = s > 0
         if not letter.any():
+            yield np.zeros(0, np.int64)
             continue
-        lettered[i] = True
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # of a gap its first place
         s = np.concatenate([[0], s[keep], [0]])
         code = s[: len(s) - N + 1].copy()
         for k in range(1, N):
             code = code * SYMBOLS + s[k : len(s) - N + 1 + k]
-        counts = np.bincount(code, minlength=0)
-        which = np.flatnonzero(counts)
-        v = counts[which].astype(np.float32) @ grams[which].astype(np.float32)
-        norm = float(np.sqrt(v @ v))
-        if norm:
-            out[i] = v / norm
-    return out, lettered
+        yield code
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their unit prototypes; partial sums are added up by the cluster."""
+def bundle(code: np.ndarray) -> tuple[np.ndarray, float]:
+    """The unit vector of n-grams, and their evidence: how many equally frequent different ones would be as telling."""
+    counts = np.bincount(code, minlength=0)
+    which = np.flatnonzero(counts)
+    n = counts[which].astype(np.float32)
+    v = n @ gram_vectors()[which].astype(np.float32)
+    norm = float(np.sqrt(v @ v))
+    n = n.astype(np.float64)
+    return v / norm if norm else v, float(n.sum() ** 2 / (n @ n))
+
+
+def text_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the texts and the evidence in each (both 0 for those without a letter)."""
+    out, evidence = np.zeros((len(column), DIMENSIONS), np.float32), np.zeros(len(column))
+    for i, code in enumerate(text_grams(column)):
+        if len(code):
+            out[i], evidence[i] = bundle(code)
+    return out, evidence
+
+
+def evidence_class(evidence: np.ndarray) -> np.ndarray:
+    """Half octaves of evidence."""
+    return np.minimum(2 * np.log2(np.maximum(evidence, 1)), CLASSES - 1).astype(np.int64)
+
+
+def training_texts(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = TRAIN_DOCS) -> DataFrame:
+    """The texts that training reads, with their languages."""
     tune(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(key), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = rows.groupBy("lang").count()
     # A language's share is kept by a hash of the key, so that about per_lang texts of it are read.
     share = counts.select("lang", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count")).alias("_share"))
-    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.col("_share") * 1_000_000)
+    return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.col("_share") * 1_000_000).select("lang", "text")
+
+
+def language_sums(picked: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages, sorted, and the sums of their texts' unit vectors; partial sums are added up by the cluster."""
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -108,14 +141,72 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "sums"])
 
-    parts = picked.select("lang", "text").mapInArrow(run, "lang string, sums array<double>")
+    parts = picked.mapInArrow(run, "lang string, sums array<double>")
     total = parts.select("lang", F.posexplode("sums").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v"))
     found = sorted((r.lang, np.round(np.array([x.v for x in r.v]), 6)) for r in total.collect() if any(x.v for x in r.v))
-    return [k for k, _ in found], np.array([v / np.sqrt(v @ v) for _, v in found]).reshape(len(found), DIMENSIONS)
+    return [k for k, _ in found], np.array([v for _, v in found]).reshape(len(found), DIMENSIONS)
+
+
+def unit(sums: np.ndarray) -> np.ndarray:
+    return sums / np.sqrt((sums * sums).sum(axis=1, keepdims=True))
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' key and the columns `keep`, with lang_pred, score (softmax of the cosines) and cosine."""
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
+    """Languages, sorted, and their unit prototypes."""
+    langs, sums = language_sums(training_texts(labelled, key, text, lang, per_lang))
+    return langs, unit(sums)
+
+
+def least_cosines(picked: DataFrame, langs: list[str], sums: np.ndarray) -> np.ndarray:
+    """By language and class of evidence, the cosine below which a text is not of the language: LEAST_SHARE of the one
+    that all but LOW_SHARE of the language's own training texts reach.
+
+    Each training text is measured whole and by its beginnings of 8, 16, 32, ... n-grams, against the prototype without
+    it. A class with fewer than LEAST_TEXTS of them takes the bound of the next class below that has as many (bounds rise
+    with evidence, so that is the milder one), and where there is none LEAST_COSINE."""
+    place = {k: n for n, k in enumerate(langs)}
+
+    def run(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for name, code in zip(part.column("lang").to_pylist(), text_grams(part.column("text")), strict=True):
+                    if name not in place or not len(code):
+                        continue
+                    others = sums[place[name]] - bundle(code)[0]
+                    norm = float(np.sqrt(others @ others))
+                    if norm < 1e-3:  # the language's only text
+                        continue
+                    n = 8
+                    while True:
+                        v, evidence = bundle(code[:n])
+                        seen[place[name], int(evidence_class(np.array(evidence))), math.floor(100 * float(v @ others) / norm)] += 1
+                        if n >= len(code):
+                            break
+                        n *= 2
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*zip(*seen, strict=True), list(seen.values()))], names=["lang", "class", "percent", "n"])
+
+    rows = picked.mapInArrow(run, "lang long, class long, percent long, n long").groupBy("lang", "class", "percent").agg(F.sum("n").alias("n")).collect()
+    texts: dict[tuple[int, int], dict[int, int]] = {}
+    for r in rows:
+        texts.setdefault((r["lang"], r["class"]), {})[r["percent"]] = r["n"]
+    out = np.full((len(langs), CLASSES), LEAST_COSINE)
+    for lang in range(len(langs)):
+        for c in range(CLASSES):
+            found = sorted(texts.get((lang, c), {}).items())
+            total = sum(n for _, n in found)
+            if total >= LEAST_TEXTS:
+                reached = np.cumsum([n for _, n in found])
+                out[lang, c] = LEAST_SHARE * found[int(np.argmax(reached > LOW_SHARE * total))][0] / 100
+            elif c:
+                out[lang, c] = out[lang, c - 1]
+    return out
+
+
+def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, least: np.ndarray | None = None) -> DataFrame:
+    """docs' key and the columns `keep`, with lang_pred, score (softmax of the cosines), cosine and close: whether the
+    language is determined and the cosine reaches its bound in `least` (of least_cosines; none where it is not given)."""
     tune(docs.sparkSession)
     keep = keep or []
     weights = prototypes.astype(np.float32).T
@@ -123,7 +214,8 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, key: str
     def run(batches):
         for batch in batches:
             for part in slices(batch, "_text"):
-                vectors, lettered = text_vectors(part.column("_text"))
+                vectors, evidence = text_vectors(part.column("_text"))
+                lettered = evidence > 0
                 if langs:
                     cosines = (vectors @ weights).astype(np.float64)
                     best = cosines.argmax(axis=1)
@@ -133,13 +225,14 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, key: str
                 else:
                     best, top, score = (np.zeros(len(lettered), k) for k in (np.int64, float, float))
                 known = lettered & bool(langs)
+                close = known & (top >= least[best, evidence_class(evidence)]) if langs and least is not None else known
                 names = np.array([*langs, UNDETERMINED], object)[np.where(known, best, len(langs))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, top, 0.0))], names=[*columns, "lang_pred", "score", "cosine"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, top, 0.0)), pa.array(close)], names=[*columns, "lang_pred", "score", "cosine", "close"])
 
     columns = [key, *(c for c in keep if c != key)]
     rows = docs.select(*columns, F.col(text).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, cosine double")
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, cosine double, close boolean")
 
 
 def held_out(key: str = "doc_id"):
@@ -153,12 +246,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, langs, prototypes).select("doc_id", rule.alias("held_out"), "lang_pred", "score", "cosine")
 
 
-#: Cosine with its own language's prototype below which the pipeline rejects a document.
-LEAST_COSINE = 0.05
-
-
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is determined; those without letters, or far from every prototype, go."""
-    langs, prototypes = train(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    found = predict(docs, langs, prototypes, keep=["text", "lang", "source", "n_chars"])
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("cosine") >= LEAST_COSINE)).select("doc_id", "text", "lang", "source", "n_chars")
+    """The documents whose language is determined; those without letters go, and those farther from their language's
+    prototype than texts of as much evidence in that language are (least_cosines). A few words are little evidence and
+    stay, as do a few words often repeated, clean or not."""
+    picked = training_texts(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    langs, sums = language_sums(picked)
+    found = predict(docs, langs, unit(sums), keep=["text", "lang", "source", "n_chars"], least=least_cosines(picked, langs, sums))
+    return found.where("close").select("doc_id", "text", "lang", "source", "n_chars")

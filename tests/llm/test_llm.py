@@ -333,6 +333,23 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predict(df, *langid.train(df.limit(0))).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_is_no_language(spark):
+    """Foreign scripts, random letters and encoded bytes go; clean texts stay, short and repetitive ones too."""
+    rng = random.Random(3)
+    syllables = {"aa": ["ba", "na", "la", "ca", "sa", "mi", "to", "re"], "bb": ["str", "engh", "rhy", "thm", "cry", "pts", "ow", "ick"]}
+    word = {k: ["".join(rng.choices(s, k=rng.randrange(1, 4))) for _ in range(150)] for k, s in syllables.items()}
+    clean = [(" ".join(rng.choices(word[k], k=rng.choice([1, 2, 5, 30, 200, 1000]))), k) for k in ("aa", "bb") for _ in range(150)]
+    clean += [(" ".join([w] * 300), k) for k in word for w in word[k][:5]]
+    alphabets = {"arabic": range(0x621, 0x64B), "cyrillic": range(0x430, 0x450), "latin": range(97, 123), "cjk": range(0x4E00, 0x9000)}
+    bad = [" ".join("".join(chr(rng.choice(a)) for _ in range(rng.randrange(2, 9))) for _ in range(n)) for a in alphabets.values() for n in (200, 3000) for _ in range(10)]
+    bad += ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=2000)) for _ in range(10)] + [None, "", "123 !!"]
+    rows = [(i, t, k, "s", len(t)) for i, (t, k) in enumerate(clean)] + [(1000 + i, t, None, "s", None) for i, t in enumerate(bad)]
+    df = spark.createDataFrame([*rows, rows[0]], DOCS).repartition(3)
+    got = [r.doc_id for r in langid.stage_language(spark, df, "").collect()]
+    assert sorted(got) == sorted([*range(len(clean)), 0])
+    assert langid.stage_language(spark, df.limit(0), "").count() == 0
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["the", "river", "runs", "quietly", "past", "old", "houses"]) for _ in range(60))
