@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts can be long, so a batch holds fewer rows than Spark's 10000.
 BATCH_ROWS = 1000
@@ -45,6 +46,11 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs in the shared folder, with a number `_row` of each row: rows stay apart where their doc_id repeats or is null."""
+    return hold(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_dir(spark: SparkSession, uri: str) -> None:
     """Deletes a folder of shared_dir()."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import code_points, hold, read_table, slices, texts_of, tune, worker_state
+from folioworks.llm.common import code_points, hold, numbered, read_table, slices, texts_of, tune, worker_state
 
 ERROR_RATE = 0.08
 #: Characters of benchmark text that workers hold at a time, about.
@@ -244,7 +244,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    leaked = hold(matches(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    """The rows that hold no benchmark item; each goes or stays by its own text, whatever its doc_id."""
+    rows = numbered(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    leaked = hold(matches(rows, read_table(spark, sf_dir, "benchmark"), key="_row").select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
     side = F.broadcast(leaked) if leaked.count() * 16 <= BROADCAST_BYTES else leaked
-    return docs.join(side, docs["doc_id"] == side["_leaked"], "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    return rows.join(side, rows["_row"] == side["_leaked"], "left_anti").select("doc_id", "text", "lang", "source", "n_chars")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import code_points, hold, mix, range_hashes, read_table, slices, texts_of, tune, worker_state
+from folioworks.llm.common import code_points, hold, mix, numbered, range_hashes, read_table, slices, texts_of, tune, worker_state
 from folioworks.llm.graph import components
 
 WORDS = 5
@@ -430,10 +430,20 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each component."""
-    gone = hold(linked_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    """One row of each component of rows: the one with the smallest doc_id.
+
+    Rows are compared one by one, whatever their doc_ids. A repeated doc_id goes only with the rows that stand for
+    others; of rows with one doc_id in a component the one with the smallest hash of its columns stays, of equal rows
+    any one. A null doc_id comes last. Rows without words stay."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = numbered(docs.select(*columns))
+    later = hold(linked_components(rows.select(F.col("_row").alias("doc_id"), "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")), "later")
+    members = later.unionByName(later.select(F.col("component").alias("_row"), "component").distinct())
+    keys = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64(*columns).alias("c"), F.col("_row").alias("d")).alias("place"))
+    first = members.join(keys, "_row").groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.d").alias("_row"))
+    gone = hold(members.select("_row").join(first, "_row", "left_anti").select(F.col("_row").alias("_gone")), "gone")
     side = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
-    return docs.join(side, docs["doc_id"] == side["_gone"], "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    return rows.join(side, rows["_row"] == side["_gone"], "left_anti").select(*columns)
 
 
 OP3_SQL = r"""

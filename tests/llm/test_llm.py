@@ -205,6 +205,26 @@ def test_jaccard_join(spark, docs):
     assert jaccard.linked_components(docs.limit(0)).count() == 0
 
 
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, docs):
+    """By rows, also where doc_ids repeat or are null."""
+    rng = random.Random(8)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    texts = [(3, a), (5, a), (5, b), (7, c), (7, c), (7, c + " end"), (None, words(rng, 60)), (None, a), (5, None), (5, ""), (None, None)]
+    texts += [(None, t) for _, t in texts[6:7]]
+    df = docs.union(spark.createDataFrame([(1000 + i if i is not None else None, t, "en", "s", 0) for i, t in texts], DOCS)).repartition(3)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    groups = {}
+    for n, _, root in brute_components([(n, t) for n, (_, t) in enumerate(rows)]):
+        groups.setdefault(root, []).append(rows[n])
+    got = [(r.doc_id, r.text) for r in jaccard.stage_near_duplicates(spark, df, "").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(map(key, got)) == sorted(min(map(key, g)) for g in groups.values())
+    for g in groups.values():
+        assert sum(r in g for r in got) >= 1
+    assert {(1003, a), (1005, b)} <= set(got) and (1005, a) not in got
+    assert jaccard.stage_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_signatures_meet(seed):
     """Any two sets that link share a signature, of those that are left without the most frequent ones too."""
@@ -294,6 +314,17 @@ def test_decontamination(spark):
     assert (exact.distance, exact.start, exact.end) == (0, 0, len(items[0][1]))
 
 
+def test_decontamination_stage_drops_rows_by_their_texts(spark, tmp_path):
+    rng = random.Random(6)
+    item, clean = words(rng, 30), [words(rng, 80) for _ in range(4)]
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = f"{clean[0]} {item} {clean[1]}"
+    rows = [(1, clean[0]), (1, leak), (2, leak), (None, leak), (None, clean[1]), (3, None), (3, clean[2]), (3, clean[2])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    got = [(r.doc_id, r.text) for r in decontaminate.stage_decontaminate(spark, df, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([r for r in rows if r[1] != leak], key=str)
+
+
 # Chat ------------------------------------------------------------------------------------------------------------
 
 
