@@ -102,7 +102,7 @@ WITH a AS (SELECT doc_id, regexp_replace({sql_strip("translate(substr(text, 1, 1
 b AS (SELECT doc_id, regexp_replace(substr(regexp_replace(c, '^[._]+|[._]+$', '', 'g'), 1, 100), '[._]+$', '') AS c FROM a)
 SELECT doc_id, coalesce(nullif(c, ''), 'output') || '_transcript.md' AS name FROM b""")
 def file_names(spark, d):
-    return table(spark, d, "documents").select("doc_id", strings.file_name(F.substring("text", 1, 160), "transcript", "md").alias("name"))
+    return table(spark, d, "documents").select("doc_id", strings.file_name(F.col("text"), "transcript", "md").alias("name"))
 
 
 PATHS = ["a/b.PDF", "talk.mp3", "film.MKV", "scan.tiff", "notes.md", ".bashrc", "x.", "book.epub", "sheet.xlsx", "odd.xyz", "dir.v2/readme", "page.HTML"]

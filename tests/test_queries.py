@@ -44,6 +44,13 @@ def test_query(spark, duck, name):
         assert len(got) > 0
 
 
+def test_file_names_read_the_whole_text(spark, tmp_path):
+    texts = [" " * 200 + "late title", "._" * 100 + "late", "a" + " " * 300 + "b", "." * 200, "x" * 300]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.name for r in catalog.queries()["file_names"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [f"{n}_transcript.md" for n in ("late_title", "late", "a_b", "output", "x" * 100)]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
