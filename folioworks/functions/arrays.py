@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioworks.functions.strings import let
+
 UNARY: dict[str, Callable[[Column], Column]] = {
     "sigmoid": lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)),
     "tanh": F.tanh,
@@ -72,25 +74,25 @@ def mean(a: Column) -> Column:
 
 
 def logsumexp(a: Column) -> Column:
-    top = F.array_max(a)
-    return top + F.log(total(F.transform(a, lambda x: F.exp(x - top))))
+    return let(F.array_max(a), lambda top: top + F.log(total(F.transform(a, lambda x: F.exp(x - top)))))
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    powers = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / total(powers))
+    powers = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(powers, lambda p: let(total(p), lambda n: F.transform(p, lambda x: x / n)))
 
 
 def rms_norm(a: Column, eps: float = 1e-6) -> Column:
     scale = F.sqrt(total(F.transform(a, lambda x: x * x)) / F.size(a) + F.lit(eps))
-    return F.transform(a, lambda x: x / scale)
+    return let(scale, lambda n: F.transform(a, lambda x: x / n))
 
 
 def layer_norm(a: Column, eps: float = 1e-5) -> Column:
-    m = mean(a)
-    spread = F.sqrt(total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a) + F.lit(eps))
-    return F.transform(a, lambda x: (x - m) / spread)
+    def centred(m: Column) -> Column:
+        spread = F.sqrt(total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a) + F.lit(eps))
+        return let(spread, lambda n: F.transform(a, lambda x: (x - m) / n))
+
+    return let(mean(a), centred)
 
 
 def dot(a: Column, b: Column) -> Column:

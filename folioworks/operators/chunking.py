@@ -103,5 +103,8 @@ def text_context(content: Column, fallback_title: Column, budget: int = BUDGET)
 
 def chunk_rows(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """doc_id, title, chunk_no, chunk_len and chunk of normalized documents."""
-    held = docs.select("doc_id", text_context(normalized(F.coalesce("text", F.lit(""))), F.lit("untitled"), budget).alias("context"))
-    return held.select("doc_id", F.col("context.title").alias("title"), F.posexplode("context.chunk_list").alias("chunk_no", "chunk")).withColumn("chunk_len", F.length("chunk"))
+    context = text_context(normalized(F.coalesce("text", F.lit(""))), F.lit("untitled"), budget)
+    # The title goes along in each chunk: a column beside the generator would be computed anew for every row it makes.
+    chunks = let(context, lambda c: F.transform(c["chunk_list"], lambda x: F.struct(c["title"].alias("title"), x.alias("chunk"))))
+    rows = docs.select("doc_id", F.posexplode(chunks).alias("chunk_no", "_c"))
+    return rows.select("doc_id", F.col("_c.title").alias("title"), "chunk_no", F.col("_c.chunk").alias("chunk")).withColumn("chunk_len", F.length("chunk"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.functions.strings import strip
+from folioworks.functions.strings import let, strip
 
 #: Preferred language codes of a family, and codes that are never taken.
 ENGLISH = ("en-orig", "en", "en-US", "en-GB", "ai-en")
@@ -24,9 +24,9 @@ def family(code: Column) -> Column:
 def script_language(*texts: Column) -> Column:
     """zh for texts with ideographs, en for texts with some Latin letters, else null."""
     sample = F.left(F.concat_ws(" ", *(F.nullif(strip(t), F.lit("")) for t in texts)), F.lit(SAMPLE))
-    ideographs = F.length(F.regexp_replace(sample, r"[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]", ""))
-    latin = F.length(F.regexp_replace(sample, "[^A-Za-z]", ""))
-    return F.when((ideographs >= 2) | ((ideographs == 1) & (latin < 20)), "zh").when(latin >= 3, "en")
+    without = lambda c, kind: F.length(F.regexp_replace(c, kind, ""))
+    counts = let(sample, lambda c: F.struct(without(c, r"[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]++").alias("ideographs"), without(c, "[^A-Za-z]++").alias("latin")))
+    return let(counts, lambda c: F.when((c["ideographs"] >= 2) | ((c["ideographs"] == 1) & (c["latin"] < 20)), "zh").when(c["latin"] >= 3, "en"))
 
 
 def resolved_language(asked: Column, metadata: Column, *texts: Column) -> Column:
