@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,27 +28,51 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+_OWN_FOLDER: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder, as a qualified URI, below spark.checkpoint.dir, which every executor can read.
 
-    Where the setting is absent (a local test), a temporary folder of this machine takes its place.
+    Where the setting is absent, a local session (a test) uses a temporary folder of this machine; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="folioworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="folioworks-"))
+            atexit.register(shutil.rmtree, _OWN_FOLDER[0], ignore_errors=True)
+        base = _OWN_FOLDER[0]
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-{uuid.uuid4().hex}")
     whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file:///") else whole
 
 
-def hold(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and reads it back: lineage ends here and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
+def _held(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame, name: str) -> DataFrame:
+    """Writes df into the shared folder and reads it back: lineage ends here and survives lost executors."""
+    return _held(df, shared_dir(df.sparkSession, name))
+
+
+class Scratch:
+    """Held tables of an operator's inner steps, which go when its result is held."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, shared_dir(spark, name), 0
+
+    def hold(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return _held(df, f"{self.folder}/{self.n:04d}-{name}")
+
+    def close(self) -> None:
+        drop_dir(self.spark, self.folder)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs in the shared folder, with a number `_row` of each row: rows stay apart where their doc_id repeats or is null."""
     return hold(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
@@ -57,9 +84,55 @@ def drop_dir(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Schemes that Hadoop's file systems have under a name of their own.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path in it of a URI (file, hdfs, s3, gs and what else Arrow knows)."""
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
+
+
+def write_blocks(df: DataFrame, folder: str, most_rows: int | None = None, most_bytes: int | None = None) -> list[str]:
+    """Writes df into files of the folder, each of at most most_rows rows and about most_bytes bytes, and returns those of
+    the tasks that ended well: one path per block, however many rows there are."""
+    names = df.columns
+
+    def run(batches):
+        store, root = open_fs(folder)
+        store.create_dir(root, recursive=True)
+
+        def put(rows: pa.Table) -> pa.RecordBatch:
+            path = f"{root}/block-{uuid.uuid4().hex}.parquet"
+            with store.open_output_stream(path) as out:
+                pq.write_table(rows, out)
+            return pa.RecordBatch.from_pydict({"path": [path]})
+
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
+        for batch in batches:
+            step = max(1, min(most_rows or len(batch), 256 if most_bytes else len(batch)))
+            for i in range(0, len(batch), step):
+                part = batch.slice(i, step).select(names)
+                n = part.nbytes
+                if held and ((most_rows and rows + len(part) > most_rows) or (most_bytes and size + n > most_bytes)):
+                    yield put(pa.Table.from_batches(held))
+                    held, rows, size = [], 0, 0
+                held.append(part)
+                rows += len(part)
+                size += n
+        if rows:
+            yield put(pa.Table.from_batches(held))
+
+    return sorted(r.path for r in df.mapInArrow(run, "path string").collect())
+
+
+def read_block(folder: str, path: str) -> pa.Table:
+    """A file of write_blocks()."""
+    store, _ = open_fs(folder)
+    with store.open_input_file(path) as f:
+        return pq.read_table(f)
 
 
 _HELD: dict[str, dict] = {}
@@ -168,7 +241,10 @@ def symbols(codes: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of codes[start:end] for many ranges at once, by prefix sums of mixed symbols times powers."""
+    """64-bit hashes of codes[start:end] for many ranges at once, by prefix sums of mixed symbols times powers.
+
+    Sums are modulo 2**64, for which certain pairs of words of 1024 characters and more collide under any base; callers
+    compare the ranges themselves or take another hash for long ones."""
     up, down = _powers(len(codes))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(codes) + 1, np.uint64)

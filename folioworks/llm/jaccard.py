@@ -19,8 +19,12 @@ the same or the next band, and bands into blocks, and each pair of blocks is a t
 counts all intersections at once (a matrix product for elements in many sets, pair counts for the rest) and gives a
 spanning set of its links, so no pair is ever a row and memory is bounded by a tile.
 
-Sets too thin for a band's parts (too few alive groups) also use a second family with parts for single elements; a pair
-is met in the first family if either is thick enough, and in the second if both are thin.
+Sets too thin for a band's parts (too few alive groups) also use a second family with parts for single elements, and sets
+too thin for that one a third, whose signatures are their elements. A pair is met in the first family in which either is
+thick enough, and in the third if both are thin in the other two: linked sets have elements in common.
+
+Words are 64-bit hashes, long ones by BLAKE2b. A set's key has 64 bits; a second, independent key of each set shows where
+two sets have one key, and those few sets take the second key instead.
 
 Defined results: null texts and texts without words have the empty set, 0 shingles, and only themselves; null doc_ids
 have component null and link with nothing; repeated rows, also of one doc_id, are returned one by one; an empty table
@@ -29,6 +33,7 @@ gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import code_points, hold, mix, numbered, range_hashes, read_table, slices, texts_of, tune, worker_state
+from folioworks.llm.common import Scratch, code_points, hold, mix, numbered, range_hashes, read_table, slices, texts_of, tune, worker_state
 from folioworks.llm.graph import components
 
 WORDS = 5
@@ -54,6 +59,10 @@ SHORT_SIZES = 512
 TILE, TILE_ELEMENTS = 1024, 2_000_000
 #: Sets of a tile from which an element is counted by a matrix product.
 FREQUENT = 64
+#: Signatures that a reduce task holds, about: 250 MB with its copies.
+PART_SIGNATURES = 4_000_000
+#: Characters from which a word's hash is a digest.
+LONG_WORD = 32
 #: Signatures that a task holds before it deals them out.
 FLUSH = 1_000_000
 #: Bytes of node keys up to which they are broadcast to the scan of the texts.
@@ -78,6 +87,8 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     starts = np.flatnonzero(word & (np.concatenate([[True], space[:-2]]) | first[:-1])) if len(codes) else np.zeros(0, np.int64)
     ends = np.flatnonzero(word & (space[1:] | first[1:])) + 1 if len(codes) else np.zeros(0, np.int64)
     hashes = range_hashes(codes, starts, ends) if len(codes) else np.zeros(0, np.uint64)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[i] = digest(codes[starts[i] : ends[i]].tobytes())
     at = np.searchsorted(starts, bounds)
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, len(hashes) - WORDS + 1), np.uint64)
@@ -94,13 +105,25 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def node_of(elements: np.ndarray) -> int | None:
-    """The 64-bit identity (signed) of a set; None of the empty one."""
+def digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+def keys_of(elements: np.ndarray) -> tuple[int, int] | None:
+    """Two independent 64-bit keys (signed) of a set; None of the empty one."""
     if not len(elements):
         return None
     with np.errstate(over="ignore"):
-        key = mix(np.array([mix(elements ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(elements))], np.uint64))
-    return int(key.view(np.int64)[0])
+        sums = [mix(elements ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(elements)) for salt in (0xA5A5A5A5, 0x3C6EF372FE94F82B)]
+    first, second = mix(np.array(sums, np.uint64)).view(np.int64).tolist()
+    return first, second
+
+
+def node_of(elements: np.ndarray, shared: frozenset[int] = frozenset()) -> int | None:
+    """The set's key; the second one where the first is in `shared`, the keys that stand for several sets."""
+    if (keys := keys_of(elements)) is None:
+        return None
+    return keys[1] if keys[0] in shared else keys[0]
 
 
 def most_differences(size: int) -> int:
@@ -119,7 +142,7 @@ class Scheme:
         parts = 64 * self.upper if fine else math.ceil(self.upper / (1.25 if short else 2))
         self.groups = -(-parts // self.n2)
         self.seed = np.uint64(mix(np.array([band * 2 + fine + 1], np.uint64))[0])
-        self.slack = max(1, math.ceil((0.2 if short else 0.05) * self.upper / (self.k2 + 1)))
+        self.slack = min(65535, max(1, math.ceil((0.2 if short else 0.05) * self.upper / (self.k2 + 1))))
         self.subsets = list(combinations(range(self.n2), self.n2 - self.k2))
 
     def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, int, bool]:
@@ -174,37 +197,43 @@ def set_signatures(elements: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
             if thick:
                 break
         else:
-            raise ValueError("a set is too thin for single elements")
+            out.append((band + 2 * BANDS, 0, mix(elements ^ mix(np.array([band + 2 * BANDS], np.uint64))[0])))
     return out
 
 
 def sets_table(docs: DataFrame) -> DataFrame:
-    """doc_id, node and n_shingles of every document."""
+    """doc_id, both keys of the set, and n_shingles of every document."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                nodes, sizes = [], []
+                keys, sizes = [], []
                 for e in shingle_sets(part.column("text")):
-                    nodes.append(node_of(e))
+                    keys.append(keys_of(e) or (None, None))
                     sizes.append(len(e))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "node", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(k, pa.int64()) for k in zip(*keys, strict=True)), pa.array(sizes, pa.int64())], names=["doc_id", "first", "second", "n_shingles"])
+
+    return docs.mapInArrow(run, "doc_id long, first long, second long, n_shingles long")
+
 
-    return docs.mapInArrow(run, "doc_id long, node long, n_shingles long")
+def shared_keys(table: DataFrame) -> frozenset[int]:
+    """The first keys that stand for several sets: about n * n / 2**65 of n sets, none below a billion or so."""
+    found = table.where("first IS NOT NULL").groupBy("first").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b")
+    return frozenset(r["first"] for r in found.select("first").collect())
 
 
 class _Dealer:
     """Collects signatures and deals them to reduce partitions as packed arrays."""
 
-    def __init__(self, parts: int):
-        self.parts, self.seen = parts, set()
+    def __init__(self, parts: int, shared: frozenset[int] = frozenset()):
+        self.parts, self.shared, self.seen = parts, shared, set()
         self.clear()
 
     def clear(self) -> None:
         self.nodes, self.kinds, self.slacks, self.signatures, self.sizes, self.count = [], [], [], [], [], 0
 
     def add(self, elements: np.ndarray) -> None:
-        node = node_of(elements)
+        node = node_of(elements, self.shared)
         if node is None or node in self.seen:
             return
         self.seen.add(node)
@@ -222,7 +251,7 @@ class _Dealer:
     def flush(self) -> pa.RecordBatch | None:
         if not self.count:
             return None
-        nodes, kinds, slacks = np.array(self.nodes, np.int64), np.array(self.kinds, np.uint8), np.array(self.slacks, np.uint32)
+        nodes, kinds, slacks = np.array(self.nodes, np.int64), np.array(self.kinds, np.uint8), np.array(self.slacks, np.uint16)
         owner = np.repeat(np.arange(len(nodes), dtype=np.uint16), self.sizes)
         signatures = np.concatenate(self.signatures)
         part = ((signatures >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
@@ -242,11 +271,11 @@ class _Dealer:
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["part", "nodes", "kinds", "slacks", "owners", "signatures"])
 
 
-def dealt_signatures(docs: DataFrame, parts: int) -> DataFrame:
+def dealt_signatures(docs: DataFrame, parts: int, shared: frozenset[int] = frozenset()) -> DataFrame:
     """Packed signatures of all sets, each set once per task, by reduce partition."""
 
     def run(batches):
-        dealer = _Dealer(parts)
+        dealer = _Dealer(parts, shared)
         for batch in batches:
             for piece in slices(batch, "text"):
                 for e in shingle_sets(piece.column("text")):
@@ -272,7 +301,7 @@ def shared_signatures(dealt: DataFrame, parts: int) -> DataFrame:
                 whole = np.zeros((len(raw), 8), np.uint8)
                 whole[:, :6] = raw
                 signatures.append(whole.view("<u8")[:, 0])
-                for out, column, kind in ((nodes, "nodes", np.int64), (kinds, "kinds", np.uint8), (slacks, "slacks", np.uint32)):
+                for out, column, kind in ((nodes, "nodes", np.int64), (kinds, "kinds", np.uint8), (slacks, "slacks", np.uint16)):
                     out.append(np.frombuffer(row[column], kind)[own])
         if not signatures:
             return
@@ -317,14 +346,14 @@ def kept_signatures(shared: DataFrame) -> DataFrame:
     return whole.withColumn("upto", F.sum("times").over(upto)).where("upto > slack").select("bucket", "node", "times")
 
 
-def tiles(clustered: DataFrame) -> DataFrame:
+def tiles(clustered: DataFrame, scratch: Scratch) -> DataFrame:
     """node and the keys of the tiles it takes part in; clustered: node, n and cluster."""
     counts = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("elements"))
     large = (F.col("m") > TILE) | (F.col("elements") > TILE_ELEMENTS)
     # Sizes of linked sets differ by less than 4/3, so by one band at most.
     banded = clustered.join(counts, "cluster").withColumn("band", F.when(large, F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")).otherwise(F.lit(0)))
     blocks = banded.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_ELEMENTS)).cast("int").alias("blocks"))
-    blocks = hold(blocks, "blocks")
+    blocks = scratch.hold(blocks, "blocks")
     near = lambda step, name: blocks.select("cluster", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
     placed = banded.join(blocks, ["cluster", "band"]).join(near(1, "above"), ["cluster", "band"], "left").join(near(-1, "below"), ["cluster", "band"], "left")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -374,11 +403,13 @@ def tile_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
     return [(int(label[i]), i) for i in np.flatnonzero(label != np.arange(m)).tolist()]
 
 
-def verified(tiled: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def verified(tiled: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scratch, shared: frozenset[int] = frozenset(), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Links (u, v) that span the components of all tiles. tiled: node and tiles; nodes: node and doc_id of a document
-    with its set. A text travels once per tile of its node."""
-    wanted = hold(tiled.join(nodes, "node").select("node", F.col("doc_id").alias("_doc"), "tiles"), "wanted")
-    side = F.broadcast(wanted) if wanted.count() * 64 <= BROADCAST_BYTES else wanted
+    with its set. A text travels once per tile of its node; the wanted keys are broadcast up to broadcast_bytes, else the
+    texts are shuffled once to meet them."""
+    wanted = scratch.hold(tiled.join(nodes, "node").select("node", F.col("doc_id").alias("_doc"), "tiles"), "wanted")
+    size = wanted.agg(F.sum(F.lit(64) + 8 * F.size("tiles"))).first()[0] or 0
+    side = F.broadcast(wanted) if size <= broadcast_bytes else wanted
     texts = docs.join(side, docs["doc_id"] == side["_doc"]).select("node", "text", F.explode("tiles").alias("tile"))
     rows = texts.repartition("tile").sortWithinPartitions("tile")
 
@@ -395,33 +426,45 @@ def verified(tiled: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                         if members:
                             yield closed()
                         current, members, sets = tile, [], []
-                    if node_of(e) == node:  # else another text of a repeated doc_id
+                    if node_of(e, shared) == node:  # else another text of a repeated doc_id
                         members.append(node)
                         sets.append(e)
         if members:
             yield closed()
 
-    return hold(rows.mapInArrow(run, "u long, v long"), "links")
+    return scratch.hold(rows.mapInArrow(run, "u long, v long"), "links")
+
+
+def reduce_parts(nodes: DataFrame, least: int) -> int:
+    """Reduce partitions of the signatures: `least`, or more, so that each gets PART_SIGNATURES at most, about. A set of n
+    elements has some 0.7 * n + 8 signatures."""
+    total = nodes.agg(F.sum(F.col("n") * 0.7 + 8)).first()[0] or 0
+    return max(least, math.ceil(total / PART_SIGNATURES))
 
 
-def linked_components(docs: DataFrame) -> DataFrame:
+def linked_components(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of docs (doc_id, text)."""
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = hold(sets_table(docs), "sets")
-    nodes = hold(table.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = shared_signatures(dealt_signatures(docs.where("doc_id IS NOT NULL"), parts), parts)
-    kept = hold(kept_signatures(shared), "kept")
+    scratch = Scratch(spark, "jaccard")
+    shared = shared_keys(table)
+    table = table.select("doc_id", F.when(F.col("first").isin(*shared), F.col("second")).otherwise(F.col("first")).alias("node") if shared else F.col("first").alias("node"), "n_shingles")
+    nodes = scratch.hold(table.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
+    parts = reduce_parts(nodes, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    together = shared_signatures(dealt_signatures(docs.where("doc_id IS NOT NULL"), parts, shared), parts)
+    kept = scratch.hold(kept_signatures(together), "kept")
     heads = kept.groupBy("bucket").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("bucket", "u")
-    clusters = components(kept.join(heads, "bucket").where("node <> u").select("u", F.col("node").alias("v")))
+    clusters = components(kept.join(heads, "bucket").where("node <> u").select("u", F.col("node").alias("v")), scratch)
     whole = clusters.select("node", F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct())
-    groups = components(verified(tiles(hold(whole.join(nodes, "node").select("node", "n", "cluster"), "clustered")), docs, nodes))
+    clustered = scratch.hold(whole.join(nodes, "node").select("node", "n", "cluster"), "clustered")
+    groups = components(verified(tiles(clustered, scratch), docs, nodes, scratch, shared, broadcast_bytes), scratch)
     # The smallest doc_id of each component, for the nodes that are not alone with one document.
     rooted = nodes.join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = hold(rooted.join(least, "component").select("node", "component_id"), "found")
+    scratch.close()
     return table.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
@@ -429,7 +472,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(read_table(spark, sf_dir, "documents"))
 
 
-def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row of each component of rows: the one with the smallest doc_id.
 
     Rows are compared one by one, whatever their doc_ids. A repeated doc_id goes only with the rows that stand for
@@ -437,12 +480,12 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     any one. A null doc_id comes last. Rows without words stay."""
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     rows = numbered(docs.select(*columns))
-    later = hold(linked_components(rows.select(F.col("_row").alias("doc_id"), "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")), "later")
+    later = hold(linked_components(rows.select(F.col("_row").alias("doc_id"), "text"), broadcast_bytes).where("component_id <> doc_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")), "later")
     members = later.unionByName(later.select(F.col("component").alias("_row"), "component").distinct())
     keys = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64(*columns).alias("c"), F.col("_row").alias("d")).alias("place"))
     first = members.join(keys, "_row").groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.d").alias("_row"))
     gone = hold(members.select("_row").join(first, "_row", "left_anti").select(F.col("_row").alias("_gone")), "gone")
-    side = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
+    side = F.broadcast(gone) if gone.count() * 16 <= broadcast_bytes else gone
     return rows.join(side, rows["_row"] == side["_gone"], "left_anti").select(*columns)
 
 
