@@ -20,8 +20,8 @@ from folioworks.llm.common import code_points, range_hashes, spread, texts_of, w
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: The contractions of the splitting pattern of byte_bpe_50k.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Pre-tokens whose ids a Python worker keeps.
-CACHE_ENTRIES = 500_000
+#: Pre-tokens whose ids a Python worker keeps, and their characters.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 16_000_000
 
 _CLASSES: np.ndarray | None = None
 
@@ -99,7 +99,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.filled = np.zeros(1 << 16, np.uint32), 0
         self.offsets, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -112,7 +113,7 @@ class Encoder:
         found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(whole, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Encodes words by the library's BPE model and keeps their ids."""
         tokenize, letters = self.model.tokenize, self.letters
         ids = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
@@ -121,13 +122,14 @@ class Encoder:
         have = len(self.known)
         while self.filled + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while have + len(keys) > len(self.offsets):
+        while have + len(words) > len(self.offsets):
             self.offsets, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offsets, self.lengths))
         self.flat[self.filled : self.filled + len(flat)] = flat
-        self.offsets[have : have + len(keys)] = self.filled + np.cumsum(lengths) - lengths
-        self.lengths[have : have + len(keys)] = lengths
+        self.offsets[have : have + len(words)] = self.filled + np.cumsum(lengths) - lengths
+        self.lengths[have : have + len(words)] = lengths
         self.filled += len(flat)
-        self.known.update(zip(keys, range(have, have + len(keys)), strict=True))
+        self.chars += sum(map(len, words))
+        self.known.update(zip(words, range(have, have + len(words)), strict=True))
 
     def _by_pretokens(self, text: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         codes = code_points(text)
@@ -135,22 +137,33 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         starts = pretoken_bounds(codes, bounds)
         ends = np.append(starts[1:], len(codes))
-        which, hashes = pd.factorize(range_hashes(codes, starts, ends))
-        at = np.zeros(len(hashes), np.int64)
-        at[which] = np.arange(len(which))
-        keys = hashes.tolist()
-        if len(self.known) + len(keys) > CACHE_ENTRIES:
+        which, words = distinct_words(text, codes, starts, ends)
+        if len(self.known) + len(words) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
             self._forget()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            self._learn([keys[i] for i in new], [text[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-        index = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         offsets, lengths = self.offsets[index][which], self.lengths[index][which]
         out = self.flat[spread(offsets, lengths)]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         return out, upto[np.searchsorted(starts, bounds)]
 
 
+def distinct_words(text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The distinct strings of the ranges, and which of them each range is. Ranges are grouped by a hash, and each is then
+    compared with the string of its group; where a hash stood for two strings, the strings themselves are grouped."""
+    which, hashes = pd.factorize(range_hashes(codes, starts, ends))
+    at = np.zeros(len(hashes), np.int64)
+    at[which[::-1]] = np.arange(len(which))[::-1]
+    sizes = ends - starts
+    first = at[which]
+    # Ranges lie one after another, so the characters of all of them are codes[starts[0]:].
+    if (sizes == sizes[first]).all() and (codes[int(starts[0]) :] == codes[spread(starts[first], sizes)]).all():
+        return which, [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    which, words = pd.factorize(np.array([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object))
+    return which, words.tolist()
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of a Python worker, loaded once."""
     state = worker_state("tokens")
