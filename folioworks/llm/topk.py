@@ -1,41 +1,44 @@
 """Exact top-k search by tiled matrix products.
 
-Queries are written to the shared folder in blocks. Every task reads its shard of candidates as tiles of a matrix, goes
-through the query blocks one after another, multiplies block and tile, takes each query's best of the tile by partial
-selection and merges it into the block's running list. Per shard and query one list of at most k leaves the task; lists
-are merged in a tree whose nodes take a bounded number of shards, so no task ever holds more than FAN_IN lists of a query.
+Queries are written to the shared folder in blocks. A task takes its candidates in shards of SHARD_VALUES components, cuts
+each into tiles of a matrix, goes through the query blocks one after another, multiplies block and tile, takes each
+query's best of the tile by partial selection and merges it into the block's running lists. Per shard and query one list of
+at most k leaves the task; lists are merged in a tree whose nodes take the shards of FAN_IN tasks, so no task ever holds
+more than their lists of a query, and a task's memory is bounded by a shard and a tile.
 
 Components are scaled to integers floor(scale * x); products of doubles are exact while every sum stays below 2**53,
 which is checked per tile, and a tile beyond it is multiplied with Python's integers. Scores outside 64 bits are held at
 the nearest end of the range.
 
-Defined results: vectors that are null, or hold null or non-finite components, or are of another length than the
-query, take no part; a query's own vec_id is no candidate of it; rows with a null vec_id take no part; where rows of a
-vec_id repeat, each is a candidate, and a query is asked once, with the least of its vectors; ties go to the smaller
-vec_id; an empty table gives no rows; other columns of the input are not read.
+Rows are told apart by a number of their own, so repeated vec_ids are queries and candidates of their own, and a row is no
+candidate of itself alone.
+
+Defined results: vectors that are null, or hold null or non-finite components (scaled ones too), or are of another length
+than the query, take no part; rows with a null vec_id take no part; every row of a repeated vec_id that is asked has its own
+ranks, under one query_id; ties go to the smaller vec_id, then to the earlier row; an empty table gives no rows; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import open_fs, read_table, shared_dir, tune
+from folioworks.llm.common import numbered, read_block, read_table, shared_dir, tune, write_blocks
 
 K = 5
 SCALE = 256.0
 #: Queries in a block and candidates in a tile; their product of doubles takes 64 MB at most.
 QUERY_BLOCK = 2048
 TILE = 4096
-#: Lists of a query that one node of the merge tree takes.
+#: Components of the candidates that a task holds at a time, as doubles.
+SHARD_VALUES = 8_000_000
+#: Tasks whose lists of a query one node of the merge tree takes.
 FAN_IN = 32
 
-LISTS = "query_id long, shard long, vec_ids array<long>, scores array<long>"
+LISTS = "query_id long, query_row long, shard long, vec_ids array<long>, rows array<long>, scores array<long>"
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -68,129 +71,118 @@ def _products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
     return np.array([[min(HIGH, max(LOW, x)) for x in r] for r in exact], np.int64)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row the columns of its k highest allowed scores, ties to smaller ids; ids ascend.
-
-    Partial selection finds the k-th score; all above it are in, and of those that equal it the first ones."""
-    out = []
-    for row, ok in zip(scores, allowed, strict=True):
-        open_ = np.flatnonzero(ok) if not ok.all() else None
-        s = row if open_ is None else row[open_]
-        m = len(s)
-        if m > k:
-            bound = np.partition(s, m - k)[m - k]
-            above = np.flatnonzero(s > bound)
-            equal = np.flatnonzero(s == bound)[: k - len(above)]
-            picked = np.concatenate([above, equal])
-        else:
-            picked = np.arange(m)
-        picked = picked if open_ is None else open_[picked]
-        out.append(picked[np.lexsort((ids[picked], ~row[picked]))])  # ~x falls as x grows and never overflows
-    return out
-
-
-def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, scores = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    order = np.lexsort((ids, ~scores))[:k]
-    return ids[order], scores[order]
-
-
-def write_query_blocks(queries: DataFrame, folder: str, block: int = QUERY_BLOCK) -> list[str]:
-    """Writes the queries (query_id, vector) in files of at most `block` rows; returns the files of tasks that ended well."""
-
-    def run(batches):
-        store, root = open_fs(folder)
-        store.create_dir(root, recursive=True)
-
-        def put(rows):
-            path = f"{root}/queries-{uuid.uuid4().hex}.parquet"
-            with store.open_output_stream(path) as out:
-                pq.write_table(rows, out)
-            return pa.RecordBatch.from_pydict({"path": [path]})
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            while len(table) >= block:
-                yield put(table.slice(0, block))
-                table = table.slice(block)
-            held = table.to_batches()
-        if held and sum(map(len, held)):
-            yield put(pa.Table.from_batches(held))
-
-    return sorted(r.path for r in queries.mapInArrow(run, "path string").collect())
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SCALE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score of the k highest inner products of each query (rows of the same columns)."""
+def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k highest scores, of equal ones the first columns; rows ascend.
+
+    Partial selection finds each row's k-th score; all above it are in, and of those that equal it the first ones."""
+    m = scores.shape[1]
+    if m <= k:
+        return np.nonzero(np.ones(scores.shape, bool))
+    bound = np.partition(scores, m - k, axis=1)[:, m - k, None]
+    picked = scores > bound
+    equal = scores == bound
+    room = k - picked.sum(axis=1, dtype=np.int32)
+    picked |= equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= room[:, None])
+    return np.nonzero(picked)
+
+
+def merged(lists: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The k best entries (query, id, row, score) of each query, in order."""
+    query, ids, rows, scores = (np.concatenate(x) for x in zip(*lists, strict=True))
+    order = np.lexsort((rows, ids, ~scores, query))  # ~x falls as x grows and never overflows
+    query = query[order]
+    nth = np.arange(len(query)) - np.searchsorted(query, query)
+    keep = order[nth < k]
+    return query[nth < k], ids[keep], rows[keep], scores[keep]
+
+
+def block_best(q: np.ndarray, q_rows: np.ndarray, ids: np.ndarray, rows: np.ndarray, m: np.ndarray, k: int, tile: int = TILE) -> tuple[np.ndarray, ...]:
+    """The k best candidates (ids and rows, sorted by both; vectors m) of each query but its own row, as of merged()."""
+    empty = np.zeros(0, np.int64)
+    best = (empty, empty, empty, empty)
+    for a in range(0, len(ids), tile):
+        scores = _products(q, m[a : a + tile])
+        i, j = best_of(scores, k + 1)  # one more, as the query's own row may be among them
+        other = rows[a + j] != q_rows[i]
+        i, j = i[other], j[other]
+        best = merged([best, (i, ids[a + j], rows[a + j], scores[i, j])], k)
+    return best
+
+
+def top_k(vectors: DataFrame, asked: str, k: int = K, scale: float = SCALE, key: str = "vec_id", vector: str = "embedding", fan_in: int = FAN_IN, query_block: int = QUERY_BLOCK, shard_values: int = SHARD_VALUES) -> DataFrame:
+    """query_id, rank, vec_id, score of the k highest inner products of each query with all other rows. asked: the SQL
+    condition on `vec_id` (the key) that says which rows are queries."""
     spark = vectors.sparkSession
     tune(spark)
     shape = [F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")]
-    asked = queries.select(*shape).where("vec_id IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
+    fit = "vec_id IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
+    table = numbered(vectors.select(*shape).where(fit))
     folder = shared_dir(spark, "query-blocks")
-    files = write_query_blocks(asked.groupBy("vec_id").agg(F.min("vector").alias("vector")), folder)
+    files = write_blocks(table.where(asked), folder, most_rows=query_block)
 
     def run(batches):
         from pyspark import TaskContext
 
-        store, _ = open_fs(folder)
-        by_size: dict[int, list] = {}
-        for batch in batches:
-            for d, (rows, m) in _matrix(batch.column("vector"), scale).items():
-                by_size.setdefault(d, []).append((batch.column("vec_id").to_numpy(zero_copy_only=False)[rows], m))
-        shard = {}
-        for d, parts in by_size.items():
-            ids, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.argsort(ids, kind="stable")
-            shard[d] = ids[order], m[order]
         number = TaskContext.get().partitionId()
-        for path in files if shard else []:
-            with store.open_input_file(path) as f:
-                table = pq.read_table(f)
-            asked_ids = table.column("vec_id").to_numpy()
-            out: list[tuple] = []
-            for d, (rows, q) in _matrix(pa.concat_arrays(table.column("vector").chunks), scale).items():
-                if d not in shard:
-                    continue
-                ids, m = shard[d]
-                empty = np.zeros(0, np.int64)
-                lists = [(empty, empty)] * len(rows)
-                for a in range(0, len(ids), TILE):
-                    tile_ids = ids[a : a + TILE]
-                    scores = _products(q, m[a : a + TILE])
-                    allowed = asked_ids[rows][:, None] != tile_ids[None, :]
-                    for i, picked in enumerate(best_of(scores, tile_ids, allowed, k)):
-                        lists[i] = _merge(lists[i], (tile_ids[picked], scores[i, picked]), k)
-                out += [(int(asked_ids[r]), number, x.tolist(), s.tolist()) for r, (x, s) in zip(rows, lists, strict=True) if len(x)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["query_id", "shard", "vec_ids", "scores"])
-
-    candidates = vectors.select(*shape).where("vec_id IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
-    lists = candidates.mapInArrow(run, LISTS)
-    entry = F.transform(F.arrays_zip("vec_ids", "scores"), lambda x: F.struct(F.bitwise_not(x["scores"]).alias("down"), x["vec_ids"].alias("vec_id"), x["scores"].alias("score")))
-    tree = lists.select("query_id", "shard", entry.alias("best"))
-    shards = max(1, candidates.rdd.getNumPartitions())
+
+        def searched(held: dict[int, list]):
+            shard = {}
+            for d, parts in held.items():
+                ids, rows, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((rows, ids))
+                shard[d] = ids[order], rows[order], m[order]
+            for path in files:
+                asked_rows = read_block(folder, path)
+                names = asked_rows.column("vec_id").to_numpy(), asked_rows.column("_row").to_numpy()
+                for d, (at, q) in _matrix(pa.concat_arrays(asked_rows.column("vector").chunks), scale).items():
+                    if d not in shard or not len(at):
+                        continue
+                    query, *found = block_best(q, names[1][at], *shard[d], k)
+                    if not len(query):
+                        continue
+                    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+                    offsets = pa.array(np.append(starts, len(query)), pa.int32())
+                    ids, rows, scores = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in found)
+                    who = at[query[starts]]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[0][who]), pa.array(names[1][who]), pa.array(np.full(len(who), number)), ids, rows, scores], names=["query_id", "query_row", "shard", "vec_ids", "rows", "scores"])
+
+        held: dict[int, list] = {}
+        size = 0
+        for batch in batches:
+            ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "_row"))
+            for d, (at, m) in _matrix(batch.column("vector"), scale).items():
+                if len(at):
+                    held.setdefault(d, []).append((ids[at], rows[at], m))
+                    size += m.size
+            if size >= shard_values:
+                yield from searched(held)
+                held, size = {}, 0
+        if held:
+            yield from searched(held)
+
+    lists = table.mapInArrow(run, LISTS)
+    entry = F.transform(F.arrays_zip("vec_ids", "rows", "scores"), lambda x: F.struct(F.bitwise_not(x["scores"]).alias("down"), x["vec_ids"].alias("vec_id"), x["rows"].alias("row"), x["scores"].alias("score")))
+    tree = lists.select("query_id", "query_row", "shard", entry.alias("best"))
+    shards = max(1, table.rdd.getNumPartitions())
     while True:
-        tree = tree.groupBy("query_id", F.floor(F.col("shard") / FAN_IN).alias("shard")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-        shards = -(-shards // FAN_IN)
+        tree = tree.groupBy("query_id", "query_row", F.floor(F.col("shard") / fan_in).alias("shard")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+        shards = -(-shards // fan_in)
         if shards <= 1:
             break
     return tree.select("query_id", F.posexplode("best").alias("_n", "_x")).select("query_id", (F.col("_n") + 1).cast("int").alias("rank"), F.col("_x.vec_id").alias("vec_id"), F.col("_x.score").alias("score"))
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    return top_k(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id % 50 = 0")
 
 
 OP2_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.w) = len(c.w))
+  SELECT q.n AS query, q.vec_id AS query_id, c.n, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.n <> q.n AND len(q.w) = len(c.w))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id, n) AS rank FROM s) WHERE rank <= 5
 """
