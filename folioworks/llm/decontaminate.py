@@ -5,8 +5,9 @@ k = floor(ERROR_RATE * m) edits; cut into k + 1 pieces, at least one piece occur
 within k edits. All pieces of all items are found at once by an Aho-Corasick automaton; around each hit, Myers'
 bit-parallel algorithm computes the least edit distance of the item to any part of the text there.
 
-The benchmark reaches the workers in blocks of at most BLOCK_BYTES; the corpus is read once per block, each task goes
-through its texts alone and nothing of the corpus is shuffled.
+The benchmark reaches the workers as files of the shared folder, blocks of at most BLOCK_BYTES, about; the corpus is read
+once per block, each task goes through its texts alone and nothing of the corpus is shuffled. The driver holds one path per
+block.
 
 Defined results: null and empty texts hold nothing; items without letters or digits take no part; items too short for
 an edit (below 1 / ERROR_RATE characters) must occur unchanged, as whole words; repeated documents are reported one by one;
@@ -16,7 +17,6 @@ repeated items by their own item_ids; an empty table gives no rows; other column
 from __future__ import annotations
 
 import math
-import uuid
 from functools import reduce
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import code_points, hold, numbered, read_table, slices, texts_of, tune, worker_state
+from folioworks.llm.common import code_points, hold, numbered, read_block, read_table, shared_dir, slices, texts_of, tune, worker_state, write_blocks
 
 ERROR_RATE = 0.08
 #: Characters of benchmark text that workers hold at a time, about.
@@ -195,31 +195,33 @@ class Matcher:
         return end - size
 
 
-def matcher(tag: str, items: list[tuple[int, str]], rate: float) -> Matcher:
+def matcher(folder: str, path: str, rate: float) -> Matcher:
+    """The matcher of a block's file; a worker keeps the last one."""
     state = worker_state("decontaminate")
-    if state.get("tag") != tag:
-        state["tag"], state["matcher"] = tag, Matcher(items, rate)
+    if state.get("path") != (path, rate):
+        block = read_block(folder, path)
+        items = zip(block.column("item_id").to_pylist(), block.column("text").to_pylist(), strict=True)
+        state["path"], state["matcher"] = (path, rate), Matcher(sorted(items, key=lambda x: (x[0] is None, x)), rate)
     return state["matcher"]
 
 
 MATCHES = "doc_id long, item_id long, distance int, item_chars int, start long, end long"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per document and item found in it within the item's budget: the least distance and the part's span in the
     document's own text (code points)."""
     spark = docs.sparkSession
     tune(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    folder = shared_dir(spark, "benchmark")
+    paths = write_blocks(items.repartition(max(1, math.ceil(total / block_bytes))), folder, most_bytes=block_bytes)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    def run_block(block: list[tuple[int, str]]) -> DataFrame:
-        tag = uuid.uuid4().hex
-
+    def search(path: str) -> DataFrame:
         def run(batches):
-            own = matcher(tag, block, rate)
+            own = matcher(folder, path, rate)
             for batch in batches:
                 for part in slices(batch, "text"):
                     whole, bounds = texts_of(part.column("text"))
@@ -232,20 +234,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, key
 
         return rows.mapInArrow(run, MATCHES)
 
-    found = []
-    for b in range(blocks):
-        block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        found.append(run_block(sorted(block, key=lambda x: (x[0] is None, x))))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, map(search, paths)) if paths else spark.createDataFrame([], MATCHES)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that hold no benchmark item; each goes or stays by its own text, whatever its doc_id."""
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows that hold no benchmark item; each goes or stays by its own text, whatever its doc_id. The leaked rows'
+    numbers are broadcast up to broadcast_bytes, else the texts are shuffled once to meet them."""
     rows = numbered(docs.select("doc_id", "text", "lang", "source", "n_chars"))
     leaked = hold(matches(rows, read_table(spark, sf_dir, "benchmark"), key="_row").select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    side = F.broadcast(leaked) if leaked.count() * 16 <= BROADCAST_BYTES else leaked
+    side = F.broadcast(leaked) if leaked.count() * 16 <= broadcast_bytes else leaked
     return rows.join(side, rows["_row"] == side["_leaked"], "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
