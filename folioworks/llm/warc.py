@@ -34,21 +34,30 @@ CHUNK = 1 << 20
 #: Compressed bytes after which an archive is closed, at the end of a record.
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 4
+#: Bytes of first pages up to which they are broadcast, and tasks over which the copies of a payload are dealt beyond it.
+BROADCAST_BYTES, SALTS = 32 << 20, 16
 
 
-def with_types(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = DEDUP_BYTES) -> DataFrame:
-    """page_id, url, html, digest, n_bytes, record_type and refers_to. Only (digest, page_id) is shuffled, not the html.
+def with_types(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = DEDUP_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, html, digest, n_bytes, record_type and refers_to.
 
-    The first page of each payload comes from a pre-aggregation; the join back splits a hot digest.
+    The first page of each payload that repeats comes from a pre-aggregation of (digest, page_id). These firsts are broadcast
+    up to broadcast_bytes, and the html stays where it is; beyond that it is shuffled once, by digest and a salt, against
+    firsts repeated for each salt, so the copies of a hot payload are dealt over SALTS tasks.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("n_bytes", F.octet_length("html").cast("long"))
     firsts = rows.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("first_digest"), "first")
     firsts = hold(firsts, "first-pages")
     again = (F.col("first").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    if firsts.count() * 100 <= 32 << 20:
+    on = (F.col("digest") == F.col("first_digest")) & (F.col("n_bytes") >= least)
+    if firsts.count() * 100 <= broadcast_bytes:
         firsts = F.broadcast(firsts)
-    return rows.join(firsts, (F.col("digest") == F.col("first_digest")) & (F.col("n_bytes") >= least), "left").select("page_id", "url", "html", "digest", "n_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    else:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        firsts = firsts.withColumn("_first_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = on & (F.col("_salt") == F.col("_first_salt"))
+    return rows.join(firsts, on, "left").select("page_id", "url", "html", "digest", "n_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def record_id(page_id: int | None) -> str:
