@@ -4,13 +4,17 @@ Two zstandard dictionaries are built, one from good and one from bad labelled te
 pieces short enough for the dictionary to matter; the difference of the compressed sizes over the text's bytes says
 which kind it is like, and a logistic curve fitted on labelled texts that built no dictionary turns it into a score.
 
-Training reads a bounded, documented number of labelled rows (TRAIN_DOCS per class, the first by a hash of the key);
-scoring reads each whole text.
+Training reads a bounded, documented number of labelled rows, whole: TRAIN_DOCS texts per class, the first by a hash of the
+key. Two of three give the pieces of the dictionaries (TRAIN_PIECES of a class, the first by a hash, so a long text counts
+by its length and is not cut off), one of three is measured by the cluster and fits the curve. The driver holds pieces and
+differences, no texts. Scoring reads each whole text.
 
 Defined results: null and empty texts have difference 0 and the score that the curve gives it; rows without a quality
-label train nothing; a document with several labels counts as the mean of them, half as good; where one class has no
-labelled text, all texts get the share of good labels (0.5 without any); repeated rows are scored alike; an empty table
-gives no rows; other columns of the input are not read.
+label, and labelled ones without text, train nothing; a document with several labels counts as the mean of them, half as
+good; where a class has no text for its dictionary or none for the curve, all texts get the share of good labels (0.5 without
+any); pieces too few for the dictionary's training are the dictionary themselves, the first by the hash up to its size; rows
+that repeat a doc_id train with that document's label each and are scored alike; an empty table gives no rows; other columns
+of the input are not read.
 """
 
 from __future__ import annotations
@@ -20,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import read_table, slices, tune
+from folioworks.llm.common import hold, read_table, slices, tune
 
 #: Labelled texts of a class that training reads: two of three build its dictionary, the third fits the curve.
 TRAIN_DOCS = 1500
-#: Bytes of one training text that the driver keeps at most; a longer text is thinned to evenly spread pieces.
-TRAIN_BYTES = 16384
+#: Pieces of a class that build its dictionary: with PIECE bytes each, what the driver holds.
+TRAIN_PIECES = 4000
 DICTIONARY = 64 << 10
 PIECE = 2048
 LEVEL = 3
@@ -67,23 +71,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * differences + self.shift, -500, 500)))
 
 
-def thinned(text: bytes) -> bytes:
-    """A training text, or evenly spread pieces of a long one."""
-    if len(text) <= TRAIN_BYTES:
-        return text
-    n = TRAIN_BYTES // PIECE
-    return b"".join(text[a : a + PIECE] for a in np.linspace(0, len(text) - PIECE, n).astype(int).tolist())
+def pieces_of(text: bytes) -> list[bytes]:
+    return [text[a : a + PIECE] for a in range(0, len(text), PIECE)]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of the texts' pieces; of the texts themselves where there are too few to train on."""
+def dictionary(pieces: list[bytes]) -> bytes:
+    """A dictionary of the pieces."""
     import zstandard
 
-    pieces = [t[a : a + PIECE] for t in texts for a in range(0, len(t), PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(pieces)[-DICTIONARY:]
+    except zstandard.ZstdError:  # too few to train on
+        return b"".join(pieces)[:DICTIONARY]
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -108,27 +107,36 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     order = [F.xxhash64("_key", F.lit(11)), F.col("_key")]
     picked = marks.where("_good = 1").orderBy(*order).limit(per_class).unionByName(marks.where("_good = 0").orderBy(*order).limit(per_class))
     # At most 2 * per_class keys, so the broadcast has a bound.
-    rows = docs.select(F.col(key), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), F.col(key) == F.col("_key"))
+    tune(docs.sparkSession)
+    rows = docs.select(F.col(key), F.col(text).cast("string").alias("text")).where("text <> ''").join(F.broadcast(picked), F.col(key) == F.col("_key"))
+    rows = hold(rows.select(F.pmod(F.xxhash64("_key", F.lit(12)), F.lit(3)).alias("third"), "_good", "text"), "labelled")
 
-    def run(batches):
+    def cut(batches):
         for batch in batches:
-            found = [thinned(x.encode("utf-8", "surrogatepass")) if x else b"" for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("_good"), pa.array(found, pa.binary())], names=["h", "good", "text"])
-
-    tune(docs.sparkSession)
-    got = rows.select(F.xxhash64("_key", F.lit(12)).alias("h"), "_good", "text").mapInArrow(run, "h long, good int, text binary").collect()
-    got = sorted(((r.h, r.good, bytes(r.text)) for r in got if r.text), key=lambda r: (r[0], r[2]))
-    classes = [[t for _, g, t in got if g == kind] for kind in (0, 1)]
-    if not all(classes):
-        total = sum(map(len, classes))
-        share = min(1 - 1e-6, max(1e-6, len(classes[1]) / total)) if total else 0.5
+            for part in slices(batch, "text"):
+                kinds, found = [], []
+                for good, x in zip(part.column("_good").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    pieces = pieces_of(x.encode("utf-8", "surrogatepass"))
+                    kinds += [good] * len(pieces)
+                    found += pieces
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(found, pa.binary())], names=["good", "piece"])
+
+    building = rows.where("third <> 0").select("_good", "text").mapInArrow(cut, "good int, piece binary")
+    order = [F.xxhash64("piece", F.lit(13)), F.col("piece")]
+    pieces = [[bytes(r.piece) for r in building.where(F.col("good") == kind).orderBy(*order).limit(TRAIN_PIECES).collect()] for kind in (0, 1)]
+    model = Model(b"", b"", 0.0, 0.0)
+    if all(pieces):
+        model.good, model.bad = dictionary(pieces[1]), dictionary(pieces[0])
+    measured = score(rows.where("third = 0"), model, "_good").select("_good", "difference").collect()
+    y = np.array([r["_good"] for r in measured], float)
+    if not all(pieces) or len(set(y.tolist())) < 2:
+        n = {r["_good"]: r["count"] for r in rows.groupBy("_good").count().collect()}
+        share = min(1 - 1e-6, max(1e-6, n.get(1, 0) / sum(n.values()))) if n else 0.5
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
-    few = min(map(len, classes)) < 3
-    build = [x if few else [t for i, t in enumerate(x) if i % 3] for x in classes]
-    check = [x if few else x[::3] for x in classes]
-    model = Model(dictionary(build[1]), dictionary(build[0]), 0.0, 0.0)
-    x = np.array([model.difference(t) for t in check[0] + check[1]])
-    model.slope, model.shift = curve(x, np.array([0.0] * len(check[0]) + [1.0] * len(check[1])))
+    # In an order of their own, so that the sums do not depend on the order of the tasks.
+    x = np.array([r["difference"] for r in measured])
+    order = np.lexsort((y, x))
+    model.slope, model.shift = curve(x[order], y[order])
     return model
 
 
