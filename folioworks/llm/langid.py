@@ -4,8 +4,9 @@ Each letter has a random vector of +1 and -1. An n-gram's vector binds (multipli
 (rotated) by its place from the end; a text's vector bundles (adds) the vectors of all its n-grams; a language's prototype
 adds the unit vectors of its training texts. A text gets the language whose prototype has the largest cosine with it.
 
-Letters are lower-cased; a run of anything else is one gap symbol. Letters share SYMBOLS symbols by a fixed hash, so any
-script has vectors. Vectors of all n-grams of symbols are one bounded table, made from the seed by every worker.
+Letters are lower-cased; a run of anything else is one gap symbol. Every letter of any script has a vector of its own, made
+from the seed and its code point. The vectors of the n-grams of a to z and gaps are one bounded table that every worker
+makes; those of other n-grams are made as they come.
 
 Training adds up a bounded, documented number of texts per language (TRAIN_DOCS, picked by a hash of the key); prediction
 reads each whole text.
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 
 from folioworks.llm.common import code_points, mix, read_table, slices, texts_of, tune, worker_state
 
-SYMBOLS = 36
+#: Symbols of the table: the gap and a to z.
+SYMBOLS = 27
 N = 3
+#: Other n-grams whose vectors are made at a time.
+MADE = 4096
 DIMENSIONS = 512
 SEED = 7
 #: Texts of a language that training reads, about; all of them where there are fewer.
@@ -48,37 +52,51 @@ LEAST_TEXTS = 20
 LEAST_SHARE = 0.5
 
 
-def symbol_table() -> np.ndarray:
-    """The symbol of every code point: 0 for what is no letter, a to z 1 to 26, other letters a hash into the rest."""
+def letter_table() -> np.ndarray:
+    """The lower-case letter of every code point; 0 for what is no letter."""
     state = worker_state("langid")
-    if "symbols" not in state:
-        table = np.zeros(0x110000, np.uint8)
+    if "letters" not in state:
+        table = np.zeros(0x110000, np.uint32)
         letters = np.fromiter((c for c in range(0x110000) if chr(c).isalpha()), np.int64)
-        lowered = np.fromiter((ord(chr(c).lower()[0]) for c in letters), np.int64, len(letters))
-        spare = SYMBOLS - 27
-        table[letters] = np.where((lowered >= 97) & (lowered <= 122), lowered - 96, 27 + (mix(lowered.astype(np.uint64)) % np.uint64(spare)).astype(np.int64))
-        state["symbols"] = table
-    return state["symbols"]
+        table[letters] = np.fromiter((ord(chr(c).lower()[0]) for c in letters), np.int64, len(letters))
+        state["letters"] = table
+    return state["letters"]
+
+
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """A row of +1 and -1 for each letter (code point; 0 is the gap): the bits of hashes of the letter and the seed."""
+    words = np.arange(DIMENSIONS // 64, dtype=np.uint64)
+    bits = mix(mix(letters.astype(np.uint64) + np.uint64(SEED << 32))[:, None] + words[None, :])
+    return np.unpackbits(bits.astype("<u8").view(np.uint8).reshape(len(letters), -1), axis=1).astype(np.int8) * 2 - 1
+
+
+def bound(grams: np.ndarray) -> np.ndarray:
+    """The vectors of n-grams (rows of N letters): products of the letters' vectors, rotated by their place from the end."""
+    letters, at = np.unique(grams, return_inverse=True)
+    vectors, at = letter_vectors(letters), at.reshape(grams.shape)
+    out = vectors[at[:, -1]]
+    for place in range(1, N):
+        out = out * np.roll(vectors, place, axis=1)[at[:, -1 - place]]
+    return out
 
 
 def gram_vectors() -> np.ndarray:
-    """The vectors of all SYMBOLS**N n-grams: products of the letters' vectors, rotated by place."""
+    """The vectors of all n-grams of gaps and a to z."""
     state = worker_state("langid")
     if "grams" not in state:
-        letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
-        grams = letters
-        for place in range(1, N):
-            grams = (np.roll(letters, place, axis=1)[:, None, :] * grams[None, :, :]).reshape(-1, DIMENSIONS)
-        state["grams"] = grams
+        letters = np.array([0, *range(97, 123)])
+        places = np.indices((SYMBOLS,) * N).reshape(N, -1).T
+        state["grams"] = bound(letters[places])
     return state["grams"]
 
 
 def text_grams(column: pa.Array) -> Iterator[np.ndarray]:
-    """The n-grams of each text as places in gram_vectors(), in order; none for a text without letters."""
+    """The n-grams of each text, in order; none for a text without letters. One of gaps and a to z is its place in
+    gram_vectors(); another one is its code points, packed, after them."""
     text, bounds = texts_of(column)
-    symbols = symbol_table()[code_points(text)].astype(np.int64) if text else np.zeros(0, np.int64)
+    found = letter_table()[code_points(text)].astype(np.int64) if text else np.zeros(0, np.int64)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        s = symbols[a:b]
+        s = found[a:b]
         letter = s > 0
         if not letter.any():
             yield np.zeros(0, np.int64)
@@ -86,18 +104,30 @@ def text_grams(column: pa.Array) -> Iterator[np.ndarray]:
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # of a gap its first place
         s = np.concatenate([[0], s[keep], [0]])
-        code = s[: len(s) - N + 1].copy()
+        n = len(s) - N + 1
+        symbol = np.where((s >= 97) & (s <= 122), s - 96, 0)
+        other = (s > 0) & (symbol == 0)
+        code, packed, rare = symbol[:n].copy(), s[:n].copy(), other[:n].copy()
         for k in range(1, N):
-            code = code * SYMBOLS + s[k : len(s) - N + 1 + k]
-        yield code
+            code = code * SYMBOLS + symbol[k : n + k]
+            packed = packed << 21 | s[k : n + k]
+            rare |= other[k : n + k]
+        yield np.where(rare, packed + SYMBOLS**N, code)
 
 
 def bundle(code: np.ndarray) -> tuple[np.ndarray, float]:
     """The unit vector of n-grams, and their evidence: how many equally frequent different ones would be as telling."""
-    counts = np.bincount(code, minlength=0)
+    rare = code >= SYMBOLS**N
+    counts = np.bincount(code[~rare], minlength=0)
     which = np.flatnonzero(counts)
-    n = counts[which].astype(np.float32)
-    v = n @ gram_vectors()[which].astype(np.float32)
+    n = counts[which]
+    v = n.astype(np.float32) @ gram_vectors()[which].astype(np.float32) if len(which) else np.zeros(DIMENSIONS, np.float32)
+    if rare.any():
+        packed, times = np.unique(code[rare] - SYMBOLS**N, return_counts=True)
+        for a in range(0, len(packed), MADE):
+            grams = np.stack([packed[a : a + MADE] >> 21 * k & 0x1FFFFF for k in range(N - 1, -1, -1)], axis=1)
+            v = v + times[a : a + MADE].astype(np.float32) @ bound(grams).astype(np.float32)
+        n = np.concatenate([n, times])
     norm = float(np.sqrt(v @ v))
     n = n.astype(np.float64)
     return v / norm if norm else v, float(n.sum() ** 2 / (n @ n))
