@@ -1,11 +1,16 @@
 """Sharding by fixed virtual slots.
 
-A record's key hashes into one of thousands of slots, for ever. A small versioned table says which shard holds each
-slot; bytes are summed per slot, and rebalancing edits that table only, so a change moves whole slots and nothing else.
+A record's key and its text's size and checksum hash into one of thousands of slots, for ever. A small versioned table says
+which shard holds each slot; bytes are summed per slot, and rebalancing edits that table only, so a change moves whole
+slots and nothing else.
 
-Defined results: a null text counts as no bytes and has checksum 0; a null key has a slot of its own kind (the hash
-of null); repeated rows are rows of their own and follow one another in their slot; an empty table gives no rows.
-Other columns of the input, whatever their names, are not read.
+The law is `bytes`: the shards' sizes are nearly equal. Groups of equal texts under different keys are dealt like any other
+records; equal rows (one key and one text) share a slot, and so a shard, however many they are.
+
+Defined results: a null text counts as no bytes and has checksum 0; a null key is hashed like any value; repeated rows are
+rows of their own and follow one another in their slot, as do rows with equal key, size and checksum, in any order; a very
+long text is one record, whose shard is as much larger; an empty table gives no rows. Other columns of the input,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +28,16 @@ N_SHARDS = 24
 RECORD_OVERHEAD = 8
 
 
+def measures(key: str, text: str, n_slots: int) -> list:
+    """size (UTF-8 bytes plus overhead), text_crc32 and virtual_slot of a record."""
+    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + F.lit(RECORD_OVERHEAD)
+    crc = F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long")
+    return [size.alias("size"), crc.alias("text_crc32"), F.pmod(F.xxhash64(F.col(key), size, crc), F.lit(n_slots)).cast("int").alias("virtual_slot")]
+
+
 def slotted(docs: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """key, size (UTF-8 bytes plus overhead), text_crc32 and virtual_slot of each record."""
-    return docs.select(
-        F.col(key),
-        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(RECORD_OVERHEAD)).alias("size"),
-        F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long").alias("text_crc32"),
-        F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int").alias("virtual_slot"),
-    )
+    """key and measures of each record."""
+    return docs.select(F.col(key), *measures(key, text, n_slots))
 
 
 def slot_sizes(records: DataFrame) -> DataFrame:
@@ -139,10 +146,13 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, key
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Writes the records into one folder per shard; rows of a shard are spread over tasks by virtual slot."""
-    where = placed.select(key, "virtual_slot", "shard").dropDuplicates([key])
-    docs.join(where, key).repartition("shard", F.pmod("virtual_slot", F.lit(64))).drop("virtual_slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, shard_of: list[int], path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Writes the records, with all their columns, into one folder per shard of a map. Each row finds its shard by its own
+    slot, so null and repeated keys are written too; the rows of a shard are spread over tasks by slot. A column `shard`
+    of docs gives way to the folders' one."""
+    places = docs.sparkSession.createDataFrame(list(enumerate(shard_of)), "_slot int, shard int")
+    rows = docs.drop("shard").withColumn("_slot", measures(key, text, len(shard_of))[2])
+    rows.join(F.broadcast(places), "_slot").repartition("shard", F.pmod("_slot", F.lit(64))).drop("_slot").write.partitionBy("shard").parquet(path)
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
