@@ -7,8 +7,12 @@ the classes, a knapsack dynamic program finds the best new pattern, and the simp
 solution are kept, what rounding leaves is filled largest first into patterns of its own. Pieces are ranked within their
 class and a piece's rank picks its pattern copy, so documents never reach the driver.
 
-Defined results: a null or empty text is the end id alone; repeated rows are packed one by one; an empty table gives
-no rows; other columns of the input are not read.
+Where the rounded program needs more sequences than first-fit decreasing alone (small tables, where rounding is dear), the
+latter's patterns are taken; the column `by_program` of the result says of each piece whether the program chose its pattern.
+
+Defined results: a null or empty text is the end id alone; a null doc_id is a value like others; repeated rows are packed
+one by one; ties of length are ranked by doc_id, start and checksum, and rows equal in these in any order, which changes
+nothing; a very long text is cut like any other; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -162,41 +166,42 @@ def fractional_patterns(demand: dict[int, int], capacity: int, rounds: int = 150
     return [(p, float(x)) for p, x in zip(basis, amount, strict=True) if x > 1e-9]
 
 
-def whole_patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Patterns and how often each is used, such that all pieces of demand and no others have a place."""
+def whole_patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int, bool]]:
+    """Patterns, how often each is used, and whether the program chose it, such that all pieces of demand and no others have
+    a place. Pieces that fill a sequence count as the program's: they have one pattern."""
     left = {s: n for s, n in demand.items() if n > 0}
-    out: list[tuple[dict[int, int], int]] = []
+    out: list[tuple[dict[int, int], int, bool]] = []
     if full := left.pop(capacity, 0):
-        out.append(({capacity: 1}, full))
+        out.append(({capacity: 1}, full, True))
     if left:
         for pattern, x in sorted(fractional_patterns(left, capacity), key=lambda p: -p[1]):
             times = min([int(x + 1e-6), *(left[s] // k for s, k in pattern.items())])
             if times > 0:
-                out.append((pattern, times))
+                out.append((pattern, times, True))
                 for s, k in pattern.items():
                     left[s] -= k * times
-    out += greedy_patterns(left, capacity)
-    plain = greedy_patterns(demand, capacity)  # never worse than without the program
-    return min(out, plain, key=lambda p: sum(n for _, n in p))
+    out += [(p, n, False) for p, n in greedy_patterns(left, capacity)]
+    plain = [(p, n, False) for p, n in greedy_patterns(demand, capacity)]
+    return min(out, plain, key=lambda p: sum(n for _, n, _ in p))
 
 
-def pattern_table(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(class, first rank, end rank, first sequence, pieces of the class per sequence, place in the sequence)."""
+def pattern_table(patterns: list[tuple[dict[int, int], int, bool]]) -> list[tuple[int, ...]]:
+    """(class, first rank, end rank, first sequence, pieces of the class per sequence, place in the sequence, by program)."""
     rows, ranks, sequence = [], {}, 0
-    for pattern, times in patterns:
+    for pattern, times, program in patterns:
         place = 0
         for size in sorted(pattern, reverse=True):
             k = pattern[size]
             first = ranks.get(size, 0)
             ranks[size] = first + k * times
-            rows.append((size, first, first + k * times, sequence, k, place))
+            rows.append((size, first, first + k * times, sequence, k, place, int(program)))
             place += k
         sequence += times
     return rows
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, grain: int = GRAIN) -> DataFrame:
-    """pieces (as of token_pieces) with sequence_id and offset; pieces must be stored, since they are read twice."""
+    """pieces (as of token_pieces) with sequence_id, offset and by_program; pieces must be stored, since they are read twice."""
     spark = pieces.sparkSession
     capacity = sequence // grain
     placed = pieces.withColumn("_class", F.ceil(F.col("length") / grain).cast("int")).withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_PARTS)).cast("int"))
@@ -210,23 +215,23 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, grain: int = GRAIN) -> Dat
     # Bounded as well: at most capacity patterns from the program and their leftovers, of at most capacity pieces.
     table = sorted(pattern_table(whole_patterns(demand, capacity)))
     base = spark.createDataFrame(bases, "_class int, _part int, _base long")
-    cols = [np.array(c, np.int64) for c in zip(*table, strict=True)] if table else [np.zeros(0, np.int64)] * 6
+    cols = [np.array(c, np.int64) for c in zip(*table, strict=True)] if table else [np.zeros(0, np.int64)] * 7
     ranked = placed.join(F.broadcast(base), ["_class", "_part"]).withColumn("_rank", F.col("_base") + F.row_number().over(Window.partitionBy("_class", "_part").orderBy("doc_id", "start", "ids_crc32")) - 1)
     key = cols[0] << 40 | cols[1]
 
-    @F.pandas_udf("seq long, place long")
+    @F.pandas_udf("seq long, place long, program boolean")
     def locate(size, rank):
         import pandas as pd
 
         n = rank.to_numpy(np.int64)
         i = np.searchsorted(key, size.to_numpy(np.int64) << 40 | n, "right") - 1
         inner = n - cols[1][i]
-        return pd.DataFrame({"seq": cols[3][i] + inner // cols[4][i], "place": cols[5][i] + inner % cols[4][i]})
+        return pd.DataFrame({"seq": cols[3][i] + inner // cols[4][i], "place": cols[5][i] + inner % cols[4][i], "program": cols[6][i] > 0})
 
     found = ranked.withColumn("_at", locate("_class", "_rank"))
     before = Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("_at.seq").alias("sequence_id"), F.col("_at.place").alias("_place"))
+        found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("_at.seq").alias("sequence_id"), F.col("_at.place").alias("_place"), F.col("_at.program").alias("by_program"))
         .withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
         .drop("_place")
     )
