@@ -117,12 +117,12 @@ def test_packing_places_each_id_once(spark, docs):
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 300), max_size=12))
 def test_patterns_cover_demand(demand):
     got = {}
-    for pattern, times in packing.whole_patterns(demand, 32):
+    for pattern, times, _ in packing.whole_patterns(demand, 32):
         assert times > 0 and sum(s * k for s, k in pattern.items()) <= 32
         for s, k in pattern.items():
             got[s] = got.get(s, 0) + k * times
     assert got == demand
-    assert sum(n for _, n in packing.whole_patterns(demand, 32)) <= sum(n for _, n in packing.greedy_patterns(demand, 32))
+    assert sum(n for _, n, _ in packing.whole_patterns(demand, 32)) <= sum(n for _, n in packing.greedy_patterns(demand, 32))
 
 
 def test_knapsack_is_best():
@@ -161,16 +161,28 @@ def test_top_k(spark):
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(4)]) for i in range(120)]
     rows += [(200, None), (201, [float("nan")] * 4), (202, [0.1, None, 0.1, 0.1]), (203, [1.0]), (None, [1.0] * 4), (50, rows[50][1]), (300, [1e30] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = {}
-    for r in topk.top_k(clash(df), clash(df).where("vec_id % 50 = 0"), k=7).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v)]
-    for q in (0, 50, 100, 300):
-        mine = next(v for i, v in whole if i == q)
-        clip = lambda s: min(topk.HIGH, max(topk.LOW, s))
-        best = sorted((-clip(sum(a * b for a, b in zip(mine, v, strict=True))), i) for i, v in whole if i != q)[:7]
-        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)], q
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    whole = [(n, i, [int(np.floor(256 * x)) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v)]
+    clip = lambda s: min(topk.HIGH, max(topk.LOW, s))
+    want = []
+    for n, i, mine in whole:
+        if i % 50 == 0:
+            best = sorted((-clip(sum(a * b for a, b in zip(mine, v, strict=True))), j) for m, j, v in whole if m != n)[:7]
+            want += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    for args in ({}, {"fan_in": 2, "query_block": 2, "shard_values": 40}):
+        got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(clash(df), "vec_id % 50 = 0", k=7, **args).collect()]
+        assert sorted(got) == sorted(want)
+    assert topk.top_k(df.limit(0), "vec_id % 50 = 0").count() == 0
+
+
+def test_block_best_over_tiles():
+    rng = np.random.default_rng(3)
+    m = rng.integers(-2, 3, (50, 3)).astype(float)
+    ids, rows = np.sort(rng.integers(0, 20, 50)), np.arange(50)
+    query, got_ids, got_rows, scores = topk.block_best(m[:9], rows[:9], ids, rows, m, 4, tile=7)
+    for i in range(9):
+        want = sorted((-int(m[i] @ m[j]), int(ids[j]), j) for j in range(50) if j != i)[:4]
+        mine = query == i
+        assert list(zip((-scores[mine]).tolist(), got_ids[mine].tolist(), got_rows[mine].tolist(), strict=True)) == want
 
 
 # Near duplicates -------------------------------------------------------------------------------------------------
