@@ -15,7 +15,7 @@ from folioworks.llm.common import Scratch
 SALTS = 32
 
 
-def _with_least(rows: DataFrame) -> DataFrame:
+def with_least(rows: DataFrame) -> DataFrame:
     """rows (u, v) with m, the least v of their u."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     partial = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
@@ -28,12 +28,12 @@ def _with_least(rows: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours point at the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    return with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours point at the least of them."""
-    moved = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    moved = with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioworks.llm.common import Scratch, code_points, hold, mix, numbered, range_hashes, read_table, slices, texts_of, tune, worker_state
-from folioworks.llm.graph import components
+from folioworks.llm.graph import components, with_least
 
 WORDS = 5
 #: Similarity at which documents link, in hundredths.
@@ -109,21 +109,23 @@ def digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
-def keys_of(elements: np.ndarray) -> tuple[int, int] | None:
-    """Two independent 64-bit keys (signed) of a set; None of the empty one."""
+#: Salts of a set's first and second key.
+KEY_SALTS = (0xA5A5A5A5, 0x3C6EF372FE94F82B)
+
+
+def set_key(elements: np.ndarray, which: int = 0) -> int | None:
+    """One of two independent 64-bit keys (signed) of a set; None of the empty one."""
     if not len(elements):
         return None
     with np.errstate(over="ignore"):
-        sums = [mix(elements ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(elements)) for salt in (0xA5A5A5A5, 0x3C6EF372FE94F82B)]
-    first, second = mix(np.array(sums, np.uint64)).view(np.int64).tolist()
-    return first, second
+        total = mix(elements ^ np.uint64(KEY_SALTS[which])).sum(dtype=np.uint64) + np.uint64(len(elements))
+        return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
 def node_of(elements: np.ndarray, shared: frozenset[int] = frozenset()) -> int | None:
-    """The set's key; the second one where the first is in `shared`, the keys that stand for several sets."""
-    if (keys := keys_of(elements)) is None:
-        return None
-    return keys[1] if keys[0] in shared else keys[0]
+    """The set's first key; the second one where the first is in `shared`, the keys that stand for several sets."""
+    key = set_key(elements)
+    return set_key(elements, 1) if key in shared else key
 
 
 def most_differences(size: int) -> int:
@@ -209,7 +211,7 @@ def sets_table(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 keys, sizes = [], []
                 for e in shingle_sets(part.column("text")):
-                    keys.append(keys_of(e) or (None, None))
+                    keys.append((set_key(e), set_key(e, 1)))
                     sizes.append(len(e))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(k, pa.int64()) for k in zip(*keys, strict=True)), pa.array(sizes, pa.int64())], names=["doc_id", "first", "second", "n_shingles"])
 
@@ -455,8 +457,9 @@ def linked_components(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -
     parts = reduce_parts(nodes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     together = shared_signatures(dealt_signatures(docs.where("doc_id IS NOT NULL"), parts, shared), parts)
     kept = scratch.hold(kept_signatures(together), "kept")
-    heads = kept.groupBy("bucket").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("bucket", "u")
-    clusters = components(kept.join(heads, "bucket").where("node <> u").select("u", F.col("node").alias("v")), scratch)
+    # Each node of a bucket points at the bucket's least one; a bucket of very many nodes is no task's own.
+    stars = with_least(kept.select(F.col("bucket").alias("u"), F.col("node").alias("v"))).where("v <> m")
+    clusters = components(stars.select(F.col("m").alias("u"), "v"), scratch)
     whole = clusters.select("node", F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct())
     clustered = scratch.hold(whole.join(nodes, "node").select("node", "n", "cluster"), "clustered")
     groups = components(verified(tiles(clustered, scratch), docs, nodes, scratch, shared, broadcast_bytes), scratch)
