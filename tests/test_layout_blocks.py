@@ -36,12 +36,12 @@ def test_blocks_are_read_back(pages, fenced):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<PAGE>", "</page 3>", "<BLOCK>", "<FORK>", "<MERGE>", "<LEVEL2>", "<", "<|det|>", "text[1, 2, 3, 4]", "title", "[1, 2", "a b", "\n", "# "]), max_size=20).map("".join))
 def test_any_text_is_read(raw):
-    """No input fails, page numbers never fall, and what is shown is stable: a second cleanup changes nothing but roots."""
+    """No input fails, page numbers never fall, no mark survives, and no gap is wider than a blank line."""
     blocks = lb.blocks_of(raw)
     assert [b.page for b in blocks] == sorted(b.page for b in blocks)
     assert not [m for m in ("<PAGE>", "<BLOCK>", "<FORK>", "<MERGE>", "<LEVEL2>") if m in lb.without_marks(raw)]
     text = lb.to_markdown(raw)
-    assert text == text.strip(lb.BLANKS) and "\n\n\n" not in text
+    assert text == text.lstrip(lb.BLANKS) and "\n\n\n" not in text  # an empty heading keeps its blank
 
 
 @settings(max_examples=200, deadline=None)
