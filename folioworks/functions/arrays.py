@@ -18,7 +18,7 @@ UNARY: dict[str, Callable[[Column], Column]] = {
     "cos": F.cos,
     "neg": F.negative,
     "abs": F.abs,
-    "log": F.log,
+    "log": F.ln,
     "sqrt": F.sqrt,
     "rsqrt": lambda x: F.lit(1.0) / F.sqrt(x),
     "square": lambda x: x * x,
@@ -34,8 +34,8 @@ BINARY: dict[str, Callable[[Column, Column], Column]] = {
     "div": lambda a, b: a / b,
     "floor_div": lambda a, b: F.floor(a / b).cast("double"),
     "power": F.pow,
-    "max": F.greatest,
-    "min": F.least,
+    "max": lambda a, b: F.greatest(a, b),
+    "min": lambda a, b: F.least(a, b),
     "gt": lambda a, b: a > b,
     "lt": lambda a, b: a < b,
     "eq": lambda a, b: a == b,

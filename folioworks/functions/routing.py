@@ -32,6 +32,64 @@ PRECISIONS = ("4bit", "6bit", "8bit", "bf16")
 TASKS = ("transcript", "convert", "ocr")
 
 
+#: MIME types of files that are sent to a service.
+MIME = {
+    ".wav": "audio/x-wav", ".mp3": "audio/mpeg", ".flac": "audio/x-flac", ".m4a": "audio/mp4a-latm", ".aac": "audio/x-aac",
+    ".ogg": "audio/ogg", ".opus": "audio/ogg", ".webm": "video/webm", ".mp4": "video/mp4", ".png": "image/png",
+    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp", ".tif": "image/tiff", ".tiff": "image/tiff",
+}
+
+
+def mime_type(path: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair)), suffix(path))
+
+
+def is_converted(path: Column) -> Column:
+    return suffix(path).isin(*READERS, *CONVERTED_TOO)
+
+
+def is_media(path: Column) -> Column:
+    """Whether sound can be had from a file."""
+    return suffix(path).isin(*AUDIO, *VIDEO)
+
+
+def task_error(task: Column) -> Column:
+    return F.when(task.isNotNull() & ~task.isin(*TASKS), F.lit(f"Unsupported task. Supported tasks: {', '.join(TASKS)}."))
+
+
+def wants_readable(task: Column, flag: Column, source: Column) -> Column:
+    """Whether a page's main content is asked for, by its task or the flag, of a URL or an HTML file."""
+    return F.coalesce((task == "readable_html") | flag, F.lit(False)) & (is_url(source) | suffix(source).isin(".html", ".htm"))
+
+
+def wants_positions(anchors: Column, segments: Column) -> Column:
+    return F.coalesce(anchors, F.lit(False)) | F.coalesce(segments, F.lit(False))
+
+
+def written_to(output_dir: Column, requested: Column) -> Column:
+    """struct(output_file, output_dir, ignored): a result with assets keeps its folder and ignores the file asked for."""
+    return F.struct(F.when(output_dir.isNull(), requested).alias("output_file"), output_dir.alias("output_dir"), (output_dir.isNotNull() & requested.isNotNull()).alias("ignored"))
+
+
+def dense_error(model: Column) -> Column:
+    """What speaks against a dense checkpoint where only quantized ones run, or null."""
+    return F.when(model.endswith("-bf16"), F.concat(F.lit("dense checkpoints are not supported: "), model))
+
+
+def model_by_alias(requests: DataFrame, families: DataFrame, default: str) -> DataFrame:
+    """requests (alias, wanted) with `model` and `error`. families (family, repo, quantized): a small table, broadcast; a dense
+    family's model is its repo, a quantized one's has a precision: the wanted one, else the alias's own, else 4bit."""
+    name = F.regexp_replace(F.lower(strip(F.coalesce(F.nullif(F.col("alias"), F.lit("")), F.lit(default)))), "[ _]", "-")
+    name = F.regexp_replace(name, "^[^/]*/", "")
+    marks = "|".join(PRECISIONS)
+    rows = requests.withColumn("_own", F.nullif(F.regexp_extract(name, f"-({marks})\\z", 1), F.lit(""))).withColumn("_p", precision(F.col("wanted"))).withColumn("family", F.regexp_replace(name, f"-({marks})\\z", ""))
+    rows = rows.join(F.broadcast(families.select("family", F.col("repo").alias("_repo"), F.col("quantized").alias("_q"))), "family", "left")
+    unknown = F.col("_repo").isNull() | (~F.col("_q") & F.col("_own").isNotNull())
+    error = F.when(F.col("wanted").isNotNull() & (strip(F.col("wanted")) != "") & F.col("_p").isNull(), "unknown precision").when(F.col("_own").isNotNull() & F.col("_p").isNotNull() & (F.col("_own") != F.col("_p")), "precision conflicts with the model's own").when(unknown, "unknown model")
+    model = F.when(~F.col("_q"), F.col("_repo")).otherwise(F.concat("_repo", F.lit("-"), F.coalesce("_p", "_own", F.lit("4bit"))))
+    return rows.withColumn("error", error).withColumn("model", F.when(F.col("error").isNull(), model)).drop("_own", "_p", "_repo", "_q", "family")
+
+
 def extension_table(spark: SparkSession) -> DataFrame:
     """ext, kind and reader: a fixed table of under a hundred rows, small enough to broadcast."""
     kinds = {e: "document_file" for e in (*READERS, *CONVERTED_TOO)} | {e: "image_file" for e in IMAGE} | {e: "audio_file" for e in AUDIO} | {e: "video_file" for e in VIDEO}

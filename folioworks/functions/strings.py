@@ -149,6 +149,27 @@ def scoring_chars(c: Column) -> Column:
     return F.regexp_replace(F.lower(without_markup(c)), r"[^\p{L}\p{N}]+", "")
 
 
+def without_formulas(c: Column) -> Column:
+    """TeX formulas ($$, \\[, \\(, and $ within a line), comments and tags as blanks."""
+    c = F.regexp_replace(c, r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\$[^$\n]+?\$", " ")
+    return F.regexp_replace(c, r"(?s)<!--.*?-->|<[^>]+>", " ")
+
+
+def page_text(c: Column) -> Column:
+    """Letters, digits and ideographs of a page outside of formulas and tags, in lower case."""
+    return F.lower(F.regexp_replace(without_formulas(c), r"[^0-9A-Za-z\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]+", ""))
+
+
+def page_tokens(c: Column) -> Column:
+    """Runs of letters and digits, and ideographs one by one, of a page outside of formulas and tags, in lower case."""
+    return F.regexp_extract_all(F.lower(without_formulas(c)), F.lit(r"[0-9a-z]+|[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"), F.lit(0))
+
+
+def is_decimal(c: Column) -> Column:
+    """Whether a text is decimal digits of any script alone."""
+    return c.rlike(r"^\p{Nd}+\z")
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; 1 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))

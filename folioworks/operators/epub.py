@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.functions.strings import strip
+from folioworks.functions.strings import SPACE, lines, strip
 
 
 def manifest(packages: DataFrame, key: str = "book_id", xml: str = "opf") -> DataFrame:
@@ -26,6 +26,20 @@ def chapters(packages: DataFrame, key: str = "book_id", xml: str = "opf") -> Dat
     return spine(packages, key, xml).join(manifest(packages, key, xml), [key, "id"]).select(key, "pos", "href")
 
 
+def folder_chapters(files: DataFrame, key: str = "book_id", path: str = "path") -> DataFrame:
+    """key, pos and href of books without a reading order: the HTML files below the first folder named OEBPS or OPS (of all
+    folders where there is none), in order of their paths."""
+    folder = F.regexp_extract(path, r"^((?:.*?/)?(?:OEBPS|OPS)/)", 1)
+    roots = files.groupBy(key).agg(F.min(F.nullif(folder, F.lit(""))).alias("_root"))
+    html = files.join(roots, key).where(F.lower(F.col(path)).rlike(r"\.x?html?\z") & (F.col("_root").isNull() | F.col(path).startswith(F.col("_root"))))
+    return html.select(key, (F.row_number().over(Window.partitionBy(key).orderBy(path)) - 1).alias("pos"), F.col(path).alias("href"))
+
+
+def failed_chapters(parts: DataFrame, key: str = "book_id", pos: str = "pos", text: str = "markdown") -> DataFrame:
+    """key, pos and a warning for each chapter that could not be converted (null text)."""
+    return parts.where(F.col(text).isNull()).select(key, pos, F.concat(F.lit("chapter "), (F.col(pos) + 1).cast("string"), F.lit(" could not be converted")).alias("warning"))
+
+
 def assembled(parts: DataFrame, key: str = "book_id", pos: str = "pos", text: str = "markdown") -> DataFrame:
     """key and the chapters' Markdown in order between rules; chapters that failed (null) or are blank are left out."""
     shown = parts.where(F.col(text).isNotNull() & (strip(F.col(text)) != ""))
@@ -49,6 +63,20 @@ def footnotes(c: Column) -> Column:
     return F.regexp_replace(c, r"\[\\?\[?(\d+)\\?\]?\]\(#[^)]*\)", "[^$1]")
 
 
+def flattened_contents(c: Column) -> Column:
+    """Runs of lines that are links to the book's files as one heading `## a: b`, a blank line after it."""
+    marked = F.regexp_replace(c, r"(?i)\[([^\]]+)\]\([^)]*(?:\.html|\.xhtml)[^)]*\)", "\u0001 $1")
+    marked = F.regexp_replace(F.regexp_replace(marked, rf"[{SPACE}]*\u0001[{SPACE}]*", "\n\u0001 "), r"\n{3,}", "\n\n")
+    runs = F.regexp_replace(marked, "(\u0001 [^\n]*)\n(?=\u0001 )", "$1\u0002")
+
+    def shown(line: Column) -> Column:
+        titles = F.filter(F.transform(F.split(line, "\u0002", -1), lambda t: strip(F.replace(t, F.lit("\u0001"), F.lit("")))), lambda t: t != "")
+        heading = F.when(F.size(titles) > 0, F.array(F.concat(F.lit("## "), F.array_join(titles, ": ")), F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.when(line.startswith("\u0001 "), heading).otherwise(F.array(line))
+
+    return F.when(c.rlike(r"(?i)\]\([^)]*\.x?html"), F.array_join(F.flatten(F.transform(lines(runs), shown)), "\n")).otherwise(c)
+
+
 def without_html(c: Column) -> Column:
     """Links within the page as their texts; span tags gone."""
     return F.regexp_replace(F.regexp_replace(c, r"\[([^\]]*)\]\(#[^)]*\)", "$1"), r"</?span[^>]*>", "")
@@ -84,6 +112,6 @@ def spaced_headings(c: Column) -> Column:
 
 def cleaned(c: Column) -> Column:
     """All cleanup steps in their order, at most one blank line in a row."""
-    for step in (without_spans, local_images, footnotes, without_html, normal_headings, one_heading, labelled_headings, demoted, spaced_headings):
+    for step in (without_spans, local_images, footnotes, without_html, flattened_contents, normal_headings, one_heading, labelled_headings, demoted, spaced_headings):
         c = step(c)
     return strip(F.regexp_replace(F.regexp_replace(c, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))

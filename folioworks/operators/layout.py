@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioworks.functions.routing import page_range_error
 from folioworks.functions.strings import SPACE, strip
 
 LEAST_SCORE = 0.5
 #: Repeated header rows of a later table fragment that are skipped at most.
 HEADER_ROWS = 5
+SEGMENTS = "array<struct<text:string,kind:string,page:int,bbox:array<double>>>"
 
 
 def anchor(page: Column, bbox: Column, kind: Column, mark: str = "loc") -> Column:
@@ -131,12 +134,53 @@ def single_root(lines: Column) -> Column:
     return F.aggregate(lines, state, lambda a, x: F.struct(F.concat(a["out"], F.array(F.when(root(x) & a["seen"], F.concat(F.lit("#"), x)).otherwise(x))).alias("out"), (a["seen"] | root(x)).alias("seen")), lambda a: a["out"])
 
 
+def insertion_order(tops: list[tuple[float, float]], near: float) -> list[int]:
+    """Places by y, then x; each then moves left past neighbours of about its height that begin right of it."""
+    order = sorted(range(len(tops)), key=lambda i: (tops[i][1], tops[i][0]))
+    for i in range(1, len(order)):
+        j = i
+        while j and abs(tops[order[j]][1] - tops[order[j - 1]][1]) < near and tops[order[j]][0] < tops[order[j - 1]][0]:
+            order[j - 1], order[j] = order[j], order[j - 1]
+            j -= 1
+    return order
+
+
 def reading_order(lines: DataFrame, key: str, x: str, y: str, near: float = 10.0) -> DataFrame:
-    """lines with `line_no`: rows of lines whose tops differ by less than `near` from their row's first, left to right."""
-    top = Window.partitionBy(key).orderBy(y, x)
-    new = F.coalesce((F.col(y) - F.lag(y).over(top) >= near).cast("int"), F.lit(1))
-    rows = lines.withColumn("_new", new).withColumn("_row", F.sum("_new").over(top.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("line_no", F.row_number().over(Window.partitionBy(key).orderBy("_row", x, y))).drop("_new", "_row")
+    """lines with `line_no`, from 1: a page's lines from top to bottom, those of about one height from left to right. Each line
+    is compared with its neighbours as they stand after earlier moves, a recurrence over one page's lines, so it is a
+    vectorized Python function of a page."""
+
+    @F.pandas_udf("array<int>")
+    def places(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([insertion_order(list(zip(map(float, a), map(float, b), strict=True)), near) for a, b in zip(xs, ys, strict=True)])
+
+    pages = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(y).alias("_y"), F.col(x).alias("_x"), F.struct(*(c for c in lines.columns if c != key)).alias("_line")))).alias("_lines"))
+    ordered = pages.withColumn("_order", places(F.transform("_lines", lambda l: l["_x"]), F.transform("_lines", lambda l: l["_y"])))
+    placed = ordered.select(key, F.posexplode(F.transform("_order", lambda i: F.get("_lines", i)["_line"])).alias("_n", "_line"))
+    return placed.select(key, "_line.*", (F.col("_n") + 1).alias("line_no"))
+
+
+def located_page(page: Column, text: Column, blocks: Column, lines: Column) -> Column:
+    """struct(markdown, segments) of a recognized page. Blocks carry an anchor each; without blocks the page has one for
+    itself and its lines are segments only, or the page is a segment where there are none. blocks and lines: arrays of
+    struct(text, kind, page, bbox)."""
+    whole = F.array(*(F.lit(v) for v in (0.0, 0.0, 1.0, 1.0)))
+    at_page = lambda a: F.transform(F.coalesce(a, F.array().cast(SEGMENTS)), lambda s: F.struct(s["text"].alias("text"), s["kind"].alias("kind"), page.cast("int").alias("page"), s["bbox"].alias("bbox")))
+    alone = F.array(F.struct(strip(text).alias("text"), F.lit("page").alias("kind"), page.cast("int").alias("page"), whole.alias("bbox")))
+    bare = F.struct(F.concat(anchor(page, whole, F.lit("page")), F.lit("\n"), strip(text)).alias("markdown"), F.when(F.size(at_page(lines)) > 0, at_page(lines)).otherwise(alone).alias("segments"))
+    with_blocks = F.struct(located_markdown(at_page(blocks)).alias("markdown"), F.concat(at_page(blocks), at_page(lines)).alias("segments"))
+    return F.when(F.size(F.coalesce(blocks, F.array().cast(SEGMENTS))) > 0, with_blocks).otherwise(bare)
+
+
+def recognized_pages(documents: DataFrame, recognize, size: int, key: str = "doc_id") -> DataFrame:
+    """key and Markdown of documents (key, first, last: 0-based pages asked for, n_pages): the range is checked, its pages
+    fan out in windows of `size`, recognize (rows of key, window, page to rows of key, page, text) is the back end, and pages
+    come together in order. A range that does not fit gives its error."""
+    checked = documents.withColumn("error", page_range_error(F.col("first"), F.col("last"), F.col("n_pages")))
+    fits = checked.where("error IS NULL").select(key, F.explode(F.sequence("first", "last")).alias("page"), "first")
+    pages = fits.select(key, F.floor((F.col("page") - F.col("first")) / size).cast("int").alias("window"), "page")
+    done = recognize(pages).withColumn("page_no", F.col("page") + 1)
+    return checked.select(key, "error").join(pages_markdown(done, key, "page_no", "text"), key, "left")
 
 
 def width_batches(items: DataFrame, key: str, ratio: str, size: int = 6) -> DataFrame:

@@ -64,11 +64,9 @@ def document_similarity(pairs: DataFrame, reference: str, hypothesis: str) -> Da
 
 def grouped_means(scores: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
     """Means over everything and over each group column by itself, in one pass of grouping sets."""
-    view = f"scores_{abs(hash((tuple(groups), tuple(values))))}"
-    scores.createOrReplaceTempView(view)
-    sets = ", ".join(["()", *(f"({g})" for g in groups)])
-    cols = ", ".join([*groups, "count(*) AS n", *(f"avg({v}) AS {v}" for v in values)])
-    return scores.sparkSession.sql(f"SELECT {cols} FROM {view} GROUP BY GROUPING SETS ({sets})")
+    sets = ", ".join(["()", *(f"(`{g}`)" for g in groups)])
+    cols = ", ".join([*(f"`{g}`" for g in groups), "count(*) AS n", *(f"avg(`{v}`) AS `{v}`" for v in values)])
+    return scores.sparkSession.sql(f"SELECT {cols} FROM {{scores}} GROUP BY GROUPING SETS ({sets})", scores=scores)
 
 
 def sampled_groups(rows: DataFrame, groups: list[str], key: str, n: int, seed: int = 0) -> DataFrame:

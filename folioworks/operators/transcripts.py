@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.functions.strings import strip
+from folioworks.functions.timecode import segment_plan
 
 INFO = "id string, title string, description string, channel string, uploader string, duration double, view_count long, upload_date string, webpage_url string, language string, tags array<string>, chapters array<struct<title:string>>"
 
@@ -55,3 +56,17 @@ def with_retry(text: Column, is_bad: Column, again: Column) -> Column:
 
 def long_enough(text: Column, least: int = 10) -> Column:
     return F.length(strip(text)) > least
+
+
+#: Seconds of a segment of sound, and of one whose words are aligned.
+SEGMENT_SECONDS, ALIGNED_SECONDS = 600.0, 295.0
+
+
+def transcribed(media: DataFrame, transcribe, key: str = "id", aligned: bool = False) -> DataFrame:
+    """key and transcript of media (key, duration): each is cut into segments of a fixed length that the back end transcribe
+    (rows of key, no, start, end to rows of key, no, text) takes one by one; their texts come together in order, blank ones
+    left out."""
+    length = ALIGNED_SECONDS if aligned else SEGMENT_SECONDS
+    parts = media.select(key, F.explode(segment_plan(F.col("duration"), length)).alias("s")).select(key, "s.no", "s.start", "s.end")
+    texts = transcribe(parts).withColumn("_t", strip(F.col("text"))).where("_t <> ''")
+    return texts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "_t"))), lambda x: x["_t"]), " ").alias("transcript"))

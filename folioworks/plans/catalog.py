@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,65 +10,22 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import arrays, routing, strings, timecode
 from folioworks.operators import alignment, captions, chunking, epub, languages, layout, layout_blocks, readable, repetition, scoring, sentences, transcripts
+from folioworks.plans.sql import QUERIES, SQL, S, query, sql_normalized, sql_strip, sql_words, table
 
 CHUNK_BUDGET = 2000
 #: Pause after which an event opens a new paragraph or session, in seconds.
 EVENT_GAP = 3600.0
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-#: Tables whose rows cost much more to compute on than to move.
-TEXTS = ("documents", "pages", "conversations", "embeddings")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table. One of TEXTS that comes in fewer splits than there are cores (a small file) is dealt over the cores; a
-    table of many files is read where it lies."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_rows(table(spark, sf_dir, "documents"), CHUNK_BUDGET).select("doc_id", "title", "chunk_no", "chunk_len")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-# SQL fragments ---------------------------------------------------------------------------------------------------
-
-S = strings.SPACE
-
-
-def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^[{S}]+|[{S}]+$', '', 'g')"
-
-
-def sql_normalized(x: str) -> str:
-    line = strings.SPACE_IN_LINE
-    return rf"regexp_replace(regexp_replace(regexp_replace(replace({x}, chr(13), ''), '[{line}]+\n', chr(10), 'g'), '[{line}]+$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
-
-
-def sql_words(x: str) -> str:
-    return f"regexp_extract_all({x}, '[^{S}]+')"
+    return dict(SQL)
 
 
 # Routing ---------------------------------------------------------------------------------------------------------
@@ -98,7 +56,7 @@ def file_uris(spark, d):
 
 
 @query(rf"""
-WITH a AS (SELECT doc_id, regexp_replace({sql_strip("translate(substr(text, 1, 160), '<>:\"/\\|?*', '_________')")}, '[{S}]+', '_', 'g') AS c FROM documents),
+WITH a AS (SELECT doc_id, regexp_replace({sql_strip("translate(text, '<>:\"/\\|?*', '_________')")}, '[{S}]+', '_', 'g') AS c FROM documents),
 b AS (SELECT doc_id, regexp_replace(substr(regexp_replace(c, '^[._]+|[._]+$', '', 'g'), 1, 100), '[._]+$', '') AS c FROM a)
 SELECT doc_id, coalesce(nullif(c, ''), 'output') || '_transcript.md' AS name FROM b""")
 def file_names(spark, d):
@@ -171,7 +129,16 @@ def lang_script(spark, d):
     return table(spark, d, "documents").select("doc_id", languages.script_language(F.col("text")).alias("script_lang"))
 
 
-@query()
+def sql_same(items: str, n: int) -> str:
+    """A 1 for each visible item that is the same as the one n places on, else 0."""
+    return f"array_to_string(list_transform(list_zip({items}, {items}[{n + 1}:]), lambda p: CASE WHEN p[1] = p[2] AND p[1] <> ' ' THEN '1' ELSE '0' END), '')"
+
+
+@query(rf"""
+WITH c AS (SELECT doc_id, regexp_replace({sql_strip("coalesce(text, '')")}, '[{S}]+', ' ', 'g') AS c FROM documents),
+w AS (SELECT doc_id, string_split(c, '') AS cs, string_split(c, ' ') AS ws FROM c)
+SELECT doc_id, contains({sql_same('cs', 1)}, repeat('1', 7)) OR {' OR '.join(f"contains({sql_same('cs', n)}, repeat('1', {3 * n}))" for n in range(2, 11))}
+  OR (len(ws) >= 5 AND (contains({sql_same('ws', 1)}, repeat('1', 5)) OR {' OR '.join(f"contains({sql_same('ws', n)}, repeat('1', {3 * n}))" for n in range(2, 6))})) AS has_loop FROM w""")
 def repetition_flag(spark, d):
     return table(spark, d, "documents").select("doc_id", repetition.has_loop(F.col("text")).alias("has_loop"))
 
@@ -227,14 +194,51 @@ def srt_round_trip(spark, d):
     return back.select("conv_id", F.size("cues").alias("n_cues"), F.array_min(F.transform("cues", lambda c: c["start"])).alias("first_start"), F.array_max(F.transform("cues", lambda c: c["end"])).alias("last_end"))
 
 
-@query()
+#: Cues of which each but the first of a conversation opens with the last words of the one before.
+ROLLING = f"""
+SELECT conv_id, turn, list_concat(coalesce(lag(ws[greatest(len(ws) - 2, 1):]) OVER (PARTITION BY conv_id ORDER BY turn), []), ws) AS ws
+FROM (SELECT conv_id, turn, {sql_words('text')} AS ws FROM ({CUES}))"""
+
+SQL_LINES = rf"""
+n AS (SELECT conv_id, tokens, list_transform(range(1, len(tokens) + 1), lambda i: {{'t': tokens[i], 'b': regexp_replace(tokens[i], '^(>>|<<)', ''), 'n': tokens[i + 1]}}) AS ps FROM tokens),
+l AS (SELECT conv_id, array_to_string(list_transform(ps, lambda p: CASE WHEN regexp_matches(p.t, '^(>>|<<)') THEN chr(10) || '>> ' || p.b ELSE p.t END ||
+  CASE WHEN regexp_matches(p.b, '[.!?。！？…]["''”’)\]]*$') AND NOT list_contains({list(captions.ABBREVIATIONS)}, lower(p.b)) AND NOT regexp_matches(p.b, '^\p{{L}}\.$')
+    AND (p.n IS NULL OR regexp_matches(p.n, '^(>>|<<)') OR regexp_matches(p.n, '^["''“‘(\[]?[A-Z\x{{3400}}-\x{{9fff}}]')) THEN chr(10) ELSE ' ' END), '') AS t FROM n)
+SELECT conv_id, {sql_strip(r"regexp_replace(regexp_replace(t, ' *\n+ *', chr(10), 'g'), '>> +\n', '>> ', 'g')")} AS transcript FROM l"""
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT conv_id, list(ws ORDER BY turn) AS cues FROM ({ROLLING}) GROUP BY conv_id),
+r AS (SELECT conv_id, cues, 0 AS i, CAST([] AS VARCHAR[]) AS tokens FROM c UNION ALL
+  SELECT conv_id, cues, i + 1, list_concat(tokens, cues[i + 1][1 + coalesce(list_max(list_filter(range(1, least(len(tokens), len(cues[i + 1])) + 1), lambda k: tokens[len(tokens) - k + 1:] = cues[i + 1][1:k])), 0):])
+  FROM r WHERE i < len(cues)),
+tokens AS (SELECT conv_id, tokens FROM r WHERE i = len(cues)),
+{SQL_LINES}""")
 def rolling_merge(spark, d):
-    """Captions that each repeat the half of the one before, merged and set as one sentence per line."""
-    turns = _cues(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
+    """Captions that each repeat the last words of the one before, merged and set as one sentence per line."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    cues = _cues(spark, d).withColumn("ws", strings.words(F.col("text")))
+    tail = F.slice("ws", F.greatest(F.size("ws") - 2, F.lit(1)), F.least(F.size("ws"), F.lit(3)))
+    cues = cues.withColumn("text", F.array_join(F.concat(F.coalesce(F.lag(tail).over(order), F.array().cast("array<string>")), "ws"), " "))
+    turns = cues.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
     return turns.select("conv_id", captions.linear_transcript(captions.merged_rolling(F.transform("ts", lambda x: x["text"]))).alias("transcript"))
 
 
-@query()
+SQL_CUT = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, '' AS path, {sql_strip('text')} AS t, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e FROM ({CUES}) UNION ALL
+  SELECT conv_id, turn, path || side, CASE side WHEN 'a' THEN l ELSE r END, CASE side WHEN 'a' THEN s ELSE m END, CASE side WHEN 'a' THEN m ELSE e END
+  FROM (SELECT *, s + (e - s) * length(l) / (length(l) + length(r)) AS m FROM (SELECT *, {sql_strip('substr(t, 1, cut)')} AS l, {sql_strip('substr(t, cut + 1)')} AS r FROM ({{place}})) WHERE cut > 0 AND l <> '' AND r <> ''), (VALUES ('a'), ('b')) x(side)),
+f AS (SELECT * FROM (SELECT *, {sql_strip('substr(t, 1, cut)')} AS l, {sql_strip('substr(t, cut + 1)')} AS r FROM ({{place}})) WHERE t <> '' AND NOT (cut > 0 AND l <> '' AND r <> ''))
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY path) - 1 AS INTEGER) AS cue_no, round(s, 6) AS start, round(greatest(e, s + {captions.LEAST_CUE}), 6) AS "end", t AS text FROM f"""
+#: Where a cue is cut: after the break, else the blank, that is nearest its middle; in mostly wide texts else at the middle.
+SQL_PLACE = rf"""
+SELECT *, CASE WHEN n > CASE WHEN mostly THEN {captions.LINE_CHARS_CJK} ELSE {captions.LINE_CHARS} END OR e - s > {captions.LONGEST_CUE}
+  THEN coalesce(list_sort(list_transform(list_filter(range(1, n - 1), lambda i: contains('{captions.BREAKS}', substr(t, i + 1, 1))), lambda i: {{'d': abs(i - n // 2), 'i': i}}))[1].i + 1,
+    list_sort(list_transform(list_filter(range(1, n - 1), lambda i: substr(t, i + 1, 1) = ' '), lambda i: {{'d': abs(i - n // 2), 'i': i}}))[1].i + 1, CASE WHEN mostly THEN n // 2 ELSE 0 END) ELSE 0 END AS cut
+FROM (SELECT *, length(t) AS n, 2 * length(regexp_replace(t, '[^{strings.CJK}]', '', 'g')) > length(regexp_replace(t, '[{S}]', '', 'g')) AS mostly FROM c)"""
+
+
+@query(SQL_CUT.replace("{place}", SQL_PLACE))
 def cue_split(spark, d):
     cues = _cues(spark, d).select("conv_id", "turn", F.posexplode(captions.split_cues("text", "s", "e")).alias("cue_no", "c"))
     return cues.select("conv_id", "turn", "cue_no", F.round("c.start", 6).alias("start"), F.round("c.end", 6).alias("end"), "c.text")
@@ -328,7 +332,21 @@ def cer_by_role(spark, d):
     return scoring.error_rates(_pairs(spark, d), "role", "a", "b", by_chars=True).withColumn("rate", F.round("rate", 9))
 
 
-@query()
+def sql_scoring_words(x: str) -> str:
+    return rf"regexp_extract_all(regexp_replace(lower(regexp_replace({x}, '<[^>]*(>|$)', ' ', 'g')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), '[^{S}]+')"
+
+
+def sql_coded(ws: str, other: str) -> str:
+    """Words as one byte each, since the SQL's edit distance counts bytes: a sign for each word that both sides have, and one
+    for all others of this side, which equal nothing."""
+    return f"array_to_string(list_transform({ws}, lambda w: CASE WHEN list_contains(names, w) THEN chr(CAST(34 + list_position(names, w) AS INTEGER)) ELSE '{other}' END), '')"
+
+
+@query(f"""
+WITH p AS (SELECT role, {sql_scoring_words('text')} AS a, {sql_scoring_words('b')} AS b FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NOT NULL),
+d AS (SELECT role, a, b, list_intersect(a, b) AS names FROM p),
+k AS (SELECT role, len(a) AS n, levenshtein({sql_coded('a', '!')}, {sql_coded('b', '"')}) AS e FROM d)
+SELECT role, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS units, round(sum(e) / greatest(sum(n), 1), 9) AS rate FROM k GROUP BY role""")
 def wer_by_role(spark, d):
     t = table(spark, d, "conversations")
     pairs = t.withColumn("after", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("after IS NOT NULL")
@@ -469,7 +487,9 @@ def readable_html(spark, d):
     return rows.select("page_id", "r.title", "r.author", "r.markdown")
 
 
-@query()
+@query(rf"""
+WITH j AS (SELECT conv_id, string_agg({sql_strip('text')}, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, {sql_strip(r"regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS markdown FROM j""")
 def layout_markdown(spark, d):
     """Conversations as tagged pages: each turn a block that the next page's continues, rendered to Markdown."""
     tag = F.concat(F.lit("<PAGE><BLOCK>"), F.when(F.col("turn") == 0, "cross_text").otherwise("append_text"), F.lit("[0, 0, 999, 999]<FORK>"), F.col("text"))
@@ -477,13 +497,26 @@ def layout_markdown(spark, d):
     return rows.select("conv_id", layout_blocks.markdown(F.col("raw")).alias("markdown"))
 
 
-@query()
+@query(rf"""
+WITH u AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(replace(text, 'the', '中文the字'), '[^\p{{L}}\p{{N}}''\s]', '', 'g'), '[{alignment.IDEOGRAPHS}]|[^\s{alignment.IDEOGRAPHS}]+') AS units FROM conversations)
+SELECT conv_id, turn, CAST(len(units) AS INTEGER) AS n_units, md5(array_to_string(units, '|')) AS digest FROM u""")
 def alignment_units(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", alignment.units(F.col("text")).alias("units"))
-    return rows.select("conv_id", "turn", F.size("units").alias("n_units"))
+    text = F.replace("text", F.lit("the"), F.lit("中文the字"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", alignment.units(text).alias("units"))
+    return rows.select("conv_id", "turn", F.size("units").alias("n_units"), F.md5(F.array_join("units", "|").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(list_transform(v, lambda x, i: floor(i - 1 + x * 8)), lambda c: c * {alignment.CLASS_MS}) AS v FROM ({V})),
+b AS (SELECT vec_id, v, 0 AS i, CAST([] AS BIGINT[]) AS best, CAST([] AS BIGINT[]) AS before FROM v UNION ALL
+  SELECT vec_id, v, i + 1, list_append(best, k + 1), list_append(before, CASE WHEN k = 0 THEN 0 ELSE list_filter(range(1, i + 1), lambda j: best[j] = k AND v[j] <= v[i + 1])[1] END)
+  FROM (SELECT *, coalesce(list_max(list_transform(list_filter(range(1, i + 1), lambda j: v[j] <= v[i + 1]), lambda j: best[j])), 0) AS k FROM b WHERE i < len(v))),
+t AS (SELECT vec_id, v, before, [list_position(best, list_max(best))] AS kept FROM b WHERE i = len(v) UNION ALL
+  SELECT vec_id, v, before, list_prepend(before[kept[1]], kept) FROM t WHERE before[kept[1]] > 0),
+k AS (SELECT vec_id, v, arg_max(kept, len(kept)) AS kept FROM t GROUP BY vec_id, v),
+p AS (SELECT vec_id, v, kept, list_transform(range(1, len(v) + 1), lambda i: {{'i': i, 'a': list_max(list_filter(kept, lambda j: j < i)), 'b': list_min(list_filter(kept, lambda j: j > i))}}) AS ps FROM k)
+SELECT vec_id, list_transform(ps, lambda p: CAST(trunc(CASE WHEN list_contains(kept, p.i) THEN v[p.i] WHEN p.a IS NULL THEN v[p.b] WHEN p.b IS NULL THEN v[p.a]
+  WHEN p.b - p.a <= 3 THEN CASE WHEN p.i - p.a <= p.b - p.i THEN v[p.a] ELSE v[p.b] END ELSE v[p.a] + (v[p.b] - v[p.a]) * (p.i - p.a) / (p.b - p.a) END) AS BIGINT) / 1000.0) AS times FROM p""")
 def timestamp_repair(spark, d):
     rows = _vectors(spark, d).select("vec_id", F.transform("v", lambda x, i: F.floor(i + x * 8)).alias("c"))
     return rows.select("vec_id", alignment.class_times(F.col("c")).alias("times"))
@@ -493,10 +526,12 @@ def timestamp_repair(spark, d):
 
 
 def _plain(name: str, sql: str) -> None:
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    used = [t for t in names if re.search(rf"\b{t}\b", sql)]
+
     def run(spark, d):
-        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
-            table(spark, d, t).createOrReplaceTempView(t)
-        return spark.sql(sql)
+        # Tables go in as parameters, so no view of the user's is touched.
+        return spark.sql(re.sub(rf"\b({'|'.join(used)})\b", r"{\1}", sql), **{t: table(spark, d, t) for t in used})
 
     run.__name__ = name
     query(sql)(run)
@@ -506,3 +541,5 @@ _plain("pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quan
 _plain("revenue_by_nation", """SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 _plain("nation_region_lookup", """SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 _plain("event_type_rates", """SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 6) AS most FROM events GROUP BY event_type""")
+
+from folioworks.plans import branches  # noqa: E402,F401  registers its queries
