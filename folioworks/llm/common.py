@@ -172,7 +172,7 @@ def texts_of(column: pa.Array) -> tuple[str, np.ndarray]:
     return "".join(s for s in strings if s), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 700_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts in column hold at most most_bytes, or one row where a single text is longer."""
     values = batch.column(column)
     if values.null_count == len(values):

@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list, by alternating large and small stars.
 
-A node with very many neighbours is no task's own: each step looks for the least neighbour per node and salt, then per node,
-and carries it back to the rows by node and salt, so a hub's edges stay spread over SALTS tasks.
+A node with very many neighbours is no task's own: the large star looks for the least neighbour per node and salt, then per
+node, and carries it back to the rows by node and salt, so a hub's edges stay spread over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -32,9 +32,12 @@ def _large(edges: DataFrame) -> DataFrame:
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours point at the least of them."""
-    moved = with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    """Each node and its smaller neighbours point at the least of them. Rows meet at the larger node, and after a large star
+    that is no hub: a hub is the least node of its edges."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

@@ -64,7 +64,7 @@ PART_SIGNATURES = 4_000_000
 #: Characters from which a word's hash is a digest.
 LONG_WORD = 32
 #: Signatures that a task holds before it deals them out.
-FLUSH = 1_000_000
+FLUSH = 400_000
 #: Bytes of node keys up to which they are broadcast to the scan of the texts.
 BROADCAST_BYTES = 32 << 20
 

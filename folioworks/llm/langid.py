@@ -33,8 +33,8 @@ from folioworks.llm.common import code_points, mix, read_table, slices, texts_of
 #: Symbols of the table: the gap and a to z.
 SYMBOLS = 27
 N = 3
-#: Other n-grams whose vectors are made at a time.
-MADE = 4096
+#: Other n-grams whose vectors are made at a time and that a worker keeps, and letters of a text that are packed at a time.
+MADE, KEPT, SEGMENT = 2048, 16384, 1 << 16
 DIMENSIONS = 512
 SEED = 7
 #: Texts of a language that training reads, about; all of them where there are fewer.
@@ -90,43 +90,71 @@ def gram_vectors() -> np.ndarray:
     return state["grams"]
 
 
+def other_vectors(packed: np.ndarray) -> np.ndarray:
+    """The vectors of at most MADE other n-grams (packed code points); a worker keeps those that it made last."""
+    state = worker_state("langid")
+    if "places" not in state:
+        state["places"], state["made"] = {}, np.empty((KEPT, DIMENSIONS), np.int8)
+    places, keys = state["places"], packed.tolist()
+    if len(places) + len(keys) > KEPT:
+        places.clear()
+    if new := [g for g in keys if g not in places]:
+        first = len(places)
+        places.update(zip(new, range(first, first + len(new)), strict=True))
+        fresh = np.array(new, np.int64)
+        state["made"][first : first + len(new)] = bound(np.stack([fresh >> 21 * k & 0x1FFFFF for k in range(N - 1, -1, -1)], axis=1))
+    return state["made"][[places[g] for g in keys]]
+
+
 def text_grams(column: pa.Array) -> Iterator[np.ndarray]:
     """The n-grams of each text, in order; none for a text without letters. One of gaps and a to z is its place in
     gram_vectors(); another one is its code points, packed, after them."""
     text, bounds = texts_of(column)
-    found = letter_table()[code_points(text)].astype(np.int64) if text else np.zeros(0, np.int64)
+    found = letter_table()[code_points(text)] if text else np.zeros(0, np.uint32)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        s = found[a:b]
-        letter = s > 0
+        letter = found[a:b] > 0
         if not letter.any():
             yield np.zeros(0, np.int64)
             continue
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]  # of a gap its first place
-        s = np.concatenate([[0], s[keep], [0]])
-        n = len(s) - N + 1
-        symbol = np.where((s >= 97) & (s <= 122), s - 96, 0)
-        other = (s > 0) & (symbol == 0)
-        code, packed, rare = symbol[:n].copy(), s[:n].copy(), other[:n].copy()
+        letter[1:] |= letter[:-1].copy()  # of a gap its first place
+        s = np.concatenate([[0], found[a:b][letter], [0]]).astype(np.uint32)
+        out = np.empty(len(s) - N + 1, np.int64)
+        for i in range(0, len(out), SEGMENT):
+            out[i : i + SEGMENT] = packed_grams(s[i : i + SEGMENT + N - 1])
+        yield out
+
+
+def packed_grams(s: np.ndarray) -> np.ndarray:
+    """The n-grams of a run of letters and gaps, as of text_grams()."""
+    n = len(s) - N + 1
+    plain = (s >= 97) & (s <= 122)
+    symbol = np.where(plain, s - np.uint32(96), 0).astype(np.int64)
+    code = symbol[:n].copy()
+    for k in range(1, N):
+        code = code * SYMBOLS + symbol[k : n + k]
+    other = (s > 0) & ~plain
+    if other.any():
+        rare, packed = other[:n].copy(), s[:n].astype(np.int64)
         for k in range(1, N):
-            code = code * SYMBOLS + symbol[k : n + k]
-            packed = packed << 21 | s[k : n + k]
             rare |= other[k : n + k]
-        yield np.where(rare, packed + SYMBOLS**N, code)
+            packed = packed << 21 | s[k : n + k]
+        code = np.where(rare, packed + SYMBOLS**N, code)
+    return code
 
 
 def bundle(code: np.ndarray) -> tuple[np.ndarray, float]:
     """The unit vector of n-grams, and their evidence: how many equally frequent different ones would be as telling."""
     rare = code >= SYMBOLS**N
-    counts = np.bincount(code[~rare], minlength=0)
+    some = rare.any()
+    counts = np.bincount(code[~rare] if some else code, minlength=0)
     which = np.flatnonzero(counts)
-    n = counts[which]
-    v = n.astype(np.float32) @ gram_vectors()[which].astype(np.float32) if len(which) else np.zeros(DIMENSIONS, np.float32)
-    if rare.any():
+    n, v = counts[which], np.zeros(DIMENSIONS, np.float32)
+    for a in range(0, len(which), MADE):
+        v += n[a : a + MADE].astype(np.float32) @ gram_vectors()[which[a : a + MADE]].astype(np.float32)
+    if some:
         packed, times = np.unique(code[rare] - SYMBOLS**N, return_counts=True)
         for a in range(0, len(packed), MADE):
-            grams = np.stack([packed[a : a + MADE] >> 21 * k & 0x1FFFFF for k in range(N - 1, -1, -1)], axis=1)
-            v = v + times[a : a + MADE].astype(np.float32) @ bound(grams).astype(np.float32)
+            v += times[a : a + MADE].astype(np.float32) @ other_vectors(packed[a : a + MADE]).astype(np.float32)
         n = np.concatenate([n, times])
     norm = float(np.sqrt(v @ v))
     n = n.astype(np.float64)

@@ -21,7 +21,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: The contractions of the splitting pattern of byte_bpe_50k.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Pre-tokens whose ids a Python worker keeps, and their characters.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 16_000_000
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 8_000_000
 
 _CLASSES: np.ndarray | None = None
 
