@@ -102,6 +102,23 @@ def greedy_patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[in
     return out
 
 
+def inverted(m: np.ndarray) -> np.ndarray:
+    """The inverse, by Gauss and Jordan with pivots by row, in element-wise steps: the library's threaded one was seen to stand
+    still in a driver whose process had been forked before."""
+    n = len(m)
+    work = np.concatenate([m, np.eye(n)], axis=1)
+    for i in range(n):
+        at = i + int(np.abs(work[i:, i]).argmax())
+        if abs(work[at, i]) < 1e-12:
+            raise np.linalg.LinAlgError("singular")
+        work[[i, at]] = work[[at, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0.0
+        work -= factor[:, None] * work[i]
+    return work[:, n:]
+
+
 def fractional_patterns(demand: dict[int, int], capacity: int, rounds: int = 1500, gap: float = 0.002) -> list[tuple[dict[int, int], float]]:
     """Patterns and their amounts in the linear program: least total amount that covers demand (sizes to counts).
 
@@ -153,7 +170,7 @@ def fractional_patterns(demand: dict[int, int], capacity: int, rounds: int = 150
         basis[out] = pattern
         if turn % 50 == 49:  # against drift
             try:
-                inverse = np.linalg.inv(np.array([dense(p) for p in basis]).T)
+                inverse = inverted(np.array([dense(p) for p in basis]).T)
             except np.linalg.LinAlgError:
                 break
         amount = np.maximum(inverse @ need, 0)
