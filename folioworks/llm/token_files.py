@@ -38,6 +38,8 @@ PERCENTILE = 0.98
 #: Ids after which a file is closed, at the end of a document.
 FILE_IDS = 4_000_000
 END_ID = 0
+#: Bytes of texts that are encoded at a time, and pre-tokens that a worker keeps: the encoding is all that a task holds here.
+PART_BYTES, CACHED = 1_500_000, 500_000
 HEAD = struct.Struct("<IBH")  # minimum, width, exceptions
 
 
@@ -171,7 +173,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "
         store, root = open_fs(folder)
         store.create_dir(root, recursive=True)
         held: list[tuple[np.ndarray, ...]] = []
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, CACHED)
 
         def flush():
             ids, keys, nulls, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -182,7 +184,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "docs": pa.array([len(keys)], pa.int64()), "ids": pa.array([len(ids)], pa.int64())})
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PART_BYTES):
                 ids, bounds = with_end(*enc.encode(piece.column("text")), end_id)
                 keys = piece.column("doc_id")
                 held.append((ids, keys.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(keys.is_null().to_numpy(zero_copy_only=False)), np.diff(bounds)))

@@ -20,8 +20,8 @@ from folioworks.llm.common import code_points, range_hashes, spread, texts_of, w
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: The contractions of the splitting pattern of byte_bpe_50k.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Pre-tokens whose ids a Python worker keeps, and their characters.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 8_000_000
+#: Pre-tokens whose ids a Python worker keeps, and the characters of one on average.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 32
 
 _CLASSES: np.ndarray | None = None
 
@@ -85,7 +85,8 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Encodes Arrow columns of texts with a tokenizer file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -138,7 +139,7 @@ class Encoder:
         starts = pretoken_bounds(codes, bounds)
         ends = np.append(starts[1:], len(codes))
         which, words = distinct_words(text, codes, starts, ends)
-        if len(self.known) + len(words) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
+        if len(self.known) + len(words) > self.entries or self.chars > self.entries * CACHE_CHARS:
             self._forget()
         if new := [w for w in words if w not in self.known]:
             self._learn(new)
@@ -164,12 +165,12 @@ def distinct_words(text: str, codes: np.ndarray, starts: np.ndarray, ends: np.nd
     return which, words.tolist()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
     """The encoder of a Python worker, loaded once."""
     state = worker_state("tokens")
-    if path not in state:
-        state[path] = Encoder(path)
-    return state[path]
+    if (path, entries) not in state:
+        state[path, entries] = Encoder(path, entries)
+    return state[path, entries]
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
