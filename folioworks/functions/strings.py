@@ -60,6 +60,11 @@ def percent_decoded(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
+def base64(c: Column) -> Column:
+    """Base64 on one line; the engine's own breaks it after 76 characters, unless a setting of the session says otherwise."""
+    return F.translate(F.base64(c), "\r\n", "")
+
+
 def normalized(c: Column) -> Column:
     """Line ends as LF, no blanks at line ends, at most one blank line in a row."""
     unix = F.replace(c, F.lit("\r"), F.lit(""))

@@ -156,7 +156,7 @@ def token_counts(spark, d):
 
 @query("SELECT page_id, sha256(html) AS sha, base64(encode(url)) AS url64, CAST(octet_length(encode(html)) AS INTEGER) AS n_bytes FROM pages")
 def page_digests(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha"), F.base64(F.encode("url", "UTF-8")).alias("url64"), F.octet_length("html").alias("n_bytes"))
+    return table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha"), strings.base64(F.encode("url", "UTF-8")).alias("url64"), F.octet_length("html").alias("n_bytes"))
 
 
 # Times and captions ----------------------------------------------------------------------------------------------

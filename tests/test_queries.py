@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 import duckdb
 import pytest
 
@@ -51,6 +53,18 @@ def test_file_names_read_the_whole_text(spark, tmp_path):
     assert got == [f"{n}_transcript.md" for n in ("late_title", "late", "a_b", "output", "x" * 100)]
 
 
+def test_page_digests_keep_long_urls_on_one_line(spark, tmp_path):
+    urls = [None, "", *("https://a.example/" + "x" * (n - 18) for n in (56, 57, 58, 114, 115, 5000)), "https://a.example/" + "é中😀" * 40]
+    pages = [(i, u, None if i == 3 else "<p>ü</p>" * i) for i, u in enumerate(urls)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "sha", "url64", "n_bytes"]
+    got = [tuple(r) for r in catalog.queries()["page_digests"](spark, str(tmp_path)).select(names).orderBy("page_id").collect()]
+    assert got == con.sql(f"SELECT {', '.join(names)} FROM ({catalog.oracle_sql()['page_digests']}) ORDER BY page_id").fetchall()
+    assert [r[2] for r in got] == [None if u is None else base64.b64encode(u.encode()).decode() for u in urls]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
